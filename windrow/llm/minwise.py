@@ -1,0 +1,258 @@
+"""Candidate search by banded minwise signatures and exact checks of the candidates.
+
+The plan: one Arrow pass over the sequences gives each record a text number (a hash of its
+bases), a signature and its bases packed in bits; these go to the shared folder. Each band of the
+signature becomes a row (bucket, text). Rows are hash-partitioned and sorted by bucket, and a
+streaming pass over the sorted rows writes the pairs of each bucket. The pass holds at most
+``cap`` rows of a bucket. A bucket with more rows is hot: its rows are only passed on, and each is
+set out again under its bucket together with one further band, so that the members part into
+smaller buckets; after ``LEVELS`` such steps a hot bucket's members agree in several bands and are
+paired by a join that splits skewed partitions. Copies of one text are one row throughout.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from windrow.llm import stretches as st
+from windrow.ship import map_arrow
+from windrow.storage import materialize
+
+#: Largest bucket whose pairs are written directly.
+CAP = 48
+#: Times that hot buckets are parted by a further band, and how many further bands each row tries.
+LEVELS, SPREAD = 2, 8
+
+FEATURES = "id string, side int, label int, source string, tid bigint, sig binary, packed binary"
+FEATURES_ARROW = pa.schema([("id", pa.string()), ("side", pa.int32()), ("label", pa.int32()), ("source", pa.string()), ("tid", pa.int64()), ("sig", pa.binary()), ("packed", pa.binary())])
+ROWS = "bucket bigint, tid bigint, side int"
+ROWS_ARROW = pa.schema([("bucket", pa.int64()), ("tid", pa.int64()), ("side", pa.int32())])
+FOUND = "a bigint, b bigint, bucket bigint, side int"
+FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bucket", pa.int64()), ("side", pa.int32())])
+
+
+def features(records: DataFrame, orders: np.ndarray, both_ends: bool, name: str) -> DataFrame:
+    """records(id, side, label, source, sequence) with text number, signature and packed bases, written once.
+
+    Records without any stretch have null for all three.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, starts = st.encode(batch.column("sequence"))
+            sigs, counts = st.signatures(codes, starts, orders, both_ends)
+            tid, sig, packed = [], [], []
+            for i, one in enumerate(st.each_record(codes, starts)):
+                has = counts[i] > 0
+                tid.append(xxhash.xxh3_64_intdigest(one.tobytes()) - (1 << 63) if has else None)
+                sig.append(sigs[i].tobytes() if has else None)
+                packed.append(st.pack(one) if has else None)
+            keep = [batch.column(c) for c in ("id", "side", "label", "source")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(tid, pa.int64()), pa.array(sig, pa.binary()), pa.array(packed, pa.binary())], schema=FEATURES_ARROW)
+
+    return materialize(map_arrow(records.select("id", "side", "label", "source", "sequence"), run, FEATURES), name)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A fixed bijection of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _signature_matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, width)
+
+
+def _band_numbers(sigs: np.ndarray, per_band: int) -> np.ndarray:
+    """One 64-bit number per record and band."""
+    n, width = sigs.shape
+    grouped = sigs.reshape(n, width // per_band, per_band).astype(np.uint64)
+    numbers = np.arange(width // per_band, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)
+    for k in range(per_band):
+        numbers = _mix(numbers ^ grouped[:, :, k])
+    return numbers
+
+
+def band_rows(feats: DataFrame, width: int, per_band: int) -> DataFrame:
+    """(bucket, tid, side): one row per text, side and band; copies within a task are set out once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            if len(seen) > 1_000_000:  # only saves work; copies are one row after the shuffle in any case
+                seen.clear()
+            fresh = []
+            for i, key in enumerate(zip(batch.column("tid").to_pylist(), batch.column("side").to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh))
+            numbers = _band_numbers(_signature_matrix(batch.column("sig"), width), per_band)
+            bands = numbers.shape[1]
+            tid, side = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), bands) for c in ("tid", "side"))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.ravel().view(np.int64)), pa.array(tid), pa.array(side.astype(np.int32))], schema=ROWS_ARROW)
+
+    return map_arrow(feats.filter("tid IS NOT NULL").select("tid", "side", "sig"), run, ROWS)
+
+
+def _pairs_of_runs(bucket: np.ndarray, tid: np.ndarray, side: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of different texts within each run of equal buckets; with cross, of different sides."""
+    left, right, at = [], [], []
+    d = 1
+    while d < len(bucket):
+        i = np.flatnonzero(bucket[d:] == bucket[:-d])
+        if not len(i):
+            break
+        j = i + d
+        use = tid[i] != tid[j]
+        if cross:
+            use &= side[i] != side[j]
+        i, j = i[use], j[use]
+        if cross:
+            i, j = np.where(side[i] == 0, i, j), np.where(side[i] == 0, j, i)
+        left.append(tid[i])
+        right.append(tid[j])
+        at.append(bucket[i])
+        d += 1
+    empty = [np.empty(0, np.int64)]
+    return tuple(np.concatenate(x or empty) for x in (left, right, at))
+
+
+def bucket_pass(cross: bool, cap: int) -> Callable:
+    """The streaming pass over rows sorted by bucket and text. Rows out with b null are members of hot buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        hot_now = None
+
+        def members(bucket, tid, side):
+            return pa.RecordBatch.from_arrays([pa.array(tid), pa.nulls(len(tid), pa.int64()), pa.array(bucket), pa.array(side)], schema=FOUND_ARROW)
+
+        def settle(bucket, tid, side):
+            edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+            sizes = np.repeat(np.diff(edge), np.diff(edge))
+            small = (sizes > 1) & (sizes <= cap)
+            if small.any():
+                a, b, at = _pairs_of_runs(bucket[small], tid[small], side[small], cross)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(at), pa.nulls(len(a), pa.int32())], schema=FOUND_ARROW)
+            if (sizes > cap).any():
+                big = sizes > cap
+                yield members(bucket[big], tid[big], side[big])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+            if hot_now is not None:  # the bucket that was passed on already
+                cut = int(np.searchsorted(now[0] != hot_now, True)) if (now[0] != hot_now).any() else len(now[0])
+                if cut:
+                    yield members(*(x[:cut] for x in now))
+                now = [x[cut:] for x in now]
+                if not len(now[0]):
+                    continue
+                hot_now = None
+            bucket, tid, side = (np.concatenate([h, x]) for h, x in zip(held, now, strict=True))
+            fresh = np.ones(len(bucket), bool)  # copies from several tasks
+            fresh[1:] = (bucket[1:] != bucket[:-1]) | (tid[1:] != tid[:-1]) | (side[1:] != side[:-1])
+            bucket, tid, side = bucket[fresh], tid[fresh], side[fresh]
+            last = int(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[-1])
+            if last:
+                yield from settle(bucket[:last], tid[:last], side[:last])
+            held = [bucket[last:], tid[last:], side[last:]]
+            if len(held[0]) > cap:
+                yield members(*held)
+                hot_now = held[0][0]
+                held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        if len(held[0]) > 1:
+            yield from settle(*held)
+
+    return run
+
+
+def _passed(rows: DataFrame, cross: bool, cap: int, name: str) -> DataFrame:
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "tid", "side")
+    return materialize(map_arrow(ordered, bucket_pass(cross, cap), FOUND), name)
+
+
+def _parted(hot: DataFrame, feats: DataFrame, width: int, per_band: int, level: int) -> DataFrame:
+    """The members of hot buckets under their bucket together with one of the next SPREAD bands."""
+    texts = feats.filter("tid IS NOT NULL").select("tid", "sig").dropDuplicates(["tid"])
+    joined = hot.select(F.col("a").alias("tid"), "bucket", "side").join(texts, "tid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = _band_numbers(_signature_matrix(batch.column("sig"), width), per_band)
+            bands = numbers.shape[1]
+            bucket = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
+            first = (bucket % np.uint64(bands)).astype(np.int64)  # the same for all members of the bucket
+            n = min(SPREAD << level, bands)
+            chosen = np.take_along_axis(numbers, (first[:, None] + np.arange(n)[None, :]) % bands, axis=1)
+            out = _mix(_mix(bucket)[:, None] ^ chosen)
+            tid, side = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("tid", "side"))
+            yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(tid), pa.array(side.astype(np.int32))], schema=ROWS_ARROW)
+
+    return map_arrow(joined, run, ROWS)
+
+
+def candidates(feats: DataFrame, width: int, per_band: int, cross: bool, least_hits: int = 1, cap: int = CAP, name: str = "found") -> DataFrame:
+    """(a, b): pairs of different texts that share at least least_hits buckets, each once.
+
+    With cross, a is a text of side 0 and b one of side 1; else a < b. A bucket that was parted
+    counts as two hits, since its pairs share a further band.
+    """
+    found = _passed(band_rows(feats, width, per_band), cross, cap, name)
+    pairs = found.filter("b IS NOT NULL").select("a", "b", F.lit(1).alias("hits"))
+    level = 0
+    hot = found.filter("b IS NULL")
+    while level < LEVELS and not hot.isEmpty():
+        found = _passed(_parted(hot, feats, width, per_band, level), cross, cap, f"{name}-parted")
+        pairs = pairs.unionByName(found.filter("b IS NOT NULL").select("a", "b", F.lit(2).alias("hits")))
+        hot = found.filter("b IS NULL")
+        level += 1
+    if level == LEVELS and not hot.isEmpty():
+        one, two = (hot.select("bucket", F.col("a").alias(x), F.col("side").alias(f"side_{x}")) for x in "ab")
+        rest = one.join(two, "bucket").filter("side_a = 0 AND side_b = 1 AND a <> b" if cross else "a < b")
+        pairs = pairs.unionByName(rest.select("a", "b", F.lit(2).alias("hits")))
+    if not cross:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hits")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+    return pairs.filter(F.col("hits") >= least_hits).select("a", "b")
+
+
+VERIFIED = "a bigint, b bigint, common bigint, size_a bigint, size_b bigint"
+_VERIFIED_ARROW = pa.schema([(c, pa.int64()) for c in ("a", "b", "common", "size_a", "size_b")])
+
+
+def verified(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+    """pairs(a, b) with the exact numbers of distinct stretches in common and on either side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, None
+        for batch in batches:
+            rows = []
+            for a, b, pa_, pb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "packed_a", "packed_b")), strict=True):
+                if a != last:
+                    last, mine = a, st.distinct(st.unpack(pa_))
+                other = st.distinct(st.unpack(pb))
+                rows.append((a, b, st.shared(mine, other), len(mine), len(other)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_VERIFIED_ARROW)
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    texts = feats.filter("tid IS NOT NULL").select("tid", "packed").join(wanted, "tid", "left_semi").dropDuplicates(["tid"])
+    texts = materialize(texts, "texts")
+    full = pairs.join(texts.select(F.col("tid").alias("b"), F.col("packed").alias("packed_b")), "b")
+    full = full.join(texts.select(F.col("tid").alias("a"), F.col("packed").alias("packed_a")), "a")
+    return map_arrow(full.sortWithinPartitions("a"), run, VERIFIED)
