@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.llm.cross_split import cross_split_pairs, cross_split_report
+from windrow.llm.group_split import group_split, split_report
 from windrow.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from windrow.llm.pieces import split_oversized
+from windrow.llm.related import assembly_groups, related_pairs, segment_groups
+from windrow.llm.sampling import quota_sample
 from windrow.llm.tables import read
 
 
@@ -37,8 +41,45 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(read(spark, d, "train"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(read(spark, d, "segments"), with_sequence=False).filter("pieces > 1").select("segment_id").distinct()
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_oversized(read(spark, d, "segments"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return related_pairs(assembly_groups(read(spark, d, "known_prophages")))
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return group_split(segment_groups(read(spark, d, "segments"), read(spark, d, "known_prophages"), read(spark, d, "contig_map")))
+
+
+def p5_split(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d)
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_report(_split(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = quota_sample(read(spark, d, "train"), read(spark, d, "label_targets"))
+    return report.filter("short").select("label", "source")
+
+
+def p6_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quota_sample(read(spark, d, "train"), read(spark, d, "label_targets"))[0]
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return quota_sample(read(spark, d, "train"), read(spark, d, "label_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p1_report, p4_found, p4_groups)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_report, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_split, p5_report, p6_found, p6_sample, p6_report)}
 
 
 def oracle_sql() -> dict[str, str]:
