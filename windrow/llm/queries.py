@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from windrow.llm.cross_split import cross_split_pairs, cross_split_report
 from windrow.llm.group_split import group_split, split_report
+from windrow.llm.mixing import mix_sources
 from windrow.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from windrow.llm.packing import pack, packing_report
 from windrow.llm.pieces import split_oversized
 from windrow.llm.related import assembly_groups, related_pairs, segment_groups
 from windrow.llm.sampling import quota_sample
+from windrow.llm.severity import score_documents, severity_rates
 from windrow.llm.tables import read
 
 
@@ -78,8 +81,48 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return quota_sample(read(spark, d, "train"), read(spark, d, "label_targets"))[1]
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pack(read(spark, d, "documents")).filter("pieces > 1").select("doc_id").distinct()
+
+
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(read(spark, d, "documents"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing_report(pack(read(spark, d, "documents")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1].filter("short").select("source")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(read(spark, d, "documents"), read(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(read(spark, d, "documents"), read(spark, d, "mix_targets"))[1]
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return score_documents(read(spark, d, "documents"), read(spark, d, "doc_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter("flagged").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return severity_rates(_scored(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p1_report, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_split, p5_report, p6_found, p6_sample, p6_report)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_report, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_split, p5_report, p6_found, p6_sample, p6_report, p7_found, p7_packing, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
