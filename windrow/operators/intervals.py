@@ -72,3 +72,41 @@ def prophage_periods(known: DataFrame) -> DataFrame:
     """
     rows = known.select(accession_number("assembly").alias("accession_no"), contig_name("ncbi_id").alias("ncbi_id"), "start", "end")
     return periods_and_gaps(rows, ["accession_no", "ncbi_id"])
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], least: int = 1, bucket: int = 10_000) -> DataFrame:
+    """Pairs of intervals of one key that overlap by at least least bases: (keys, l_start, l_end, r_start, r_end, overlap) and all columns of both, prefixed.
+
+    Each interval is set out into the buckets it touches and joined by key and bucket; a pair is kept only in the bucket
+    of its later start, so it comes once. A hot key is spread over its buckets.
+    """
+    if least < 1:
+        raise ValueError("intervals that don't overlap are no pairs")
+
+    def out(df: DataFrame, p: str) -> DataFrame:
+        rows = df.filter("start IS NOT NULL AND end IS NOT NULL AND start < end")
+        rows = rows.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys))
+        return rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(f"{p}_start") / F.lit(bucket)), F.floor((F.col(f"{p}_end") - 1) / F.lit(bucket)))))
+
+    pairs = out(left, "l").join(out(right, "r"), [*keys, "_bucket"])
+    later = F.greatest("l_start", "r_start")
+    size = F.least("l_end", "r_end") - later
+    return pairs.filter(F.floor(later / F.lit(bucket)) == F.col("_bucket")).withColumn("overlap", size).filter(F.col("overlap") >= least).drop("_bucket")
+
+
+def base_confusion(truth: DataFrame, called: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
+    """tp, fp, fn, tn in bases per key from interval tables and lengths(keys, length), by interval algebra.
+
+    Each side is merged first; intervals are clipped to the length; a key without intervals is all true negative.
+    """
+
+    def clipped(df: DataFrame) -> DataFrame:
+        rows = df.join(lengths, keys).withColumn("start", F.greatest(F.lit(0), "start")).withColumn("end", F.least("end", "length"))
+        return continuous_periods(rows.filter("start < end").select(*keys, "start", "end"), keys)
+
+    t, c = clipped(truth), clipped(called)
+    size = F.sum(F.col("end") - F.col("start"))
+    both = overlap_join(t, c, keys).groupBy(*keys).agg(F.sum("overlap").alias("tp"))
+    out = lengths.join(t.groupBy(*keys).agg(size.alias("_t")), keys, "left").join(c.groupBy(*keys).agg(size.alias("_c")), keys, "left").join(both, keys, "left").fillna(0, ["_t", "_c", "tp"])
+    fp, fn = F.col("_c") - F.col("tp"), F.col("_t") - F.col("tp")
+    return out.select(*keys, "tp", (F.col("length") - F.col("tp") - fp - fn).alias("tn"), fp.alias("fp"), fn.alias("fn"))

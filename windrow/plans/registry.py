@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.plans import periods
+from windrow.plans import evaluation, genome, periods
 
-MODULES = (periods,)
+MODULES = (evaluation, genome, periods)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/predictions.parquet")
+    return genome.q_genome_wide_summary(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
