@@ -53,7 +53,7 @@ CLASSES: dict[str, str] = {
     "sex_part": """tits tit breasts breast nipples nipple cock dick penis pussy vagina ass butt bottom hips thighs lap erection boobs crotch clit balls brüste titten schwanz pechos tetas polla culo seins cul bite chatte
         naked_body""",
     "sex_act": """fuck fucks fucked fucking horny nude nudes naked moan* groan* climax* orgasm* lick licks licked thrust* undress* stripped suck sucks sucked sex made_love make_love had_sex came_inside until_she_came until_he_came
-        panting uncensored porn porno* masturbat* blowjob* pleasure_each kissed rubbed_against rocked took_him_in did_it astride ride_me taste_you adults_only live_cams dripping singles seductive begged bent_over
+        panting uncensored porn porno* masturbat* blowjob* pleasure_each kissed rubbed_against rocked hardened tongue undressed undressing took_him_in did_it astride ride_me taste_you adults_only live_cams dripping singles seductive begged bent_over
         tie_you_to_the_bed grab_your touch_him touch_her touch_me unzipped lay_naked both_were_spent until_both sweating
         nackt* stöhnte stöhnt ficken fick* geil desnud* gimió gemía follar* besaba nue nues gémit gémissait baiser embrassait hot_and_horny in_my_pants under_her under_his hand_between""",
     "clothes": "bra panties underwear blouse skirt jeans trousers shirt pants lingerie thong stockings dress lab_coat clothes",
@@ -71,12 +71,12 @@ GRADES = {"ok": 0, "unsure": 1, "abuse": 2, "hate": 2, "sexual": 2}
 CUTS = (3.0, 4.5)
 
 PRIOR: dict[str, float] = {
-    "insult": 2.0, "scorn": 0.8, "group": 0.4, "vermin": 0.7, "exclusion": 0.8, "harm": 0.4, "wish": 0.2, "abuse_phrase": 4.5, "body": 0.2, "sex_part": 0.7, "sex_act": 1.2, "clothes": 0.4,
-    "hate_phrase": 3.0, "hate_phrase+group": 3.0, "hate_phrase+them": 1.5, "hate_phrase*2": 2.0, "demonym+hate_phrase": 3.0, "exclusion+hate_phrase": 1.0, "hate_phrase+harm": 1.0, "hate_phrase+wish": 1.0,
-    "demonym": 0.3, "demonym+vermin": 4.5, "demonym+exclusion": 4.0, "demonym+harm": 2.5, "demonym+scorn": 5.0, "demonym+wish": 1.0, "scorn+vermin": 3.0, "person+vermin": 1.0, "this+vermin": 0.5,
+    "insult": 2.0, "scorn": 0.8, "group": 0.4, "vermin": 0.7, "exclusion": 0.8, "harm": 0.4, "wish": 0.2, "abuse_phrase": 5.0, "body": 0.2, "sex_part": 0.7, "sex_act": 1.2, "clothes": 0.4,
+    "hate_phrase": 3.5, "hate_phrase+group": 3.0, "hate_phrase+them": 1.5, "hate_phrase*2": 2.0, "demonym+hate_phrase": 3.0, "exclusion+hate_phrase": 1.0, "hate_phrase+harm": 1.0, "hate_phrase+wish": 1.0,
+    "demonym": 0.3, "demonym+vermin": 4.5, "demonym+exclusion": 4.0, "demonym+harm": 2.5, "demonym+scorn": 5.0, "demonym+wish": 1.0, "scorn+vermin": 3.0, "person+vermin": 2.5, "this+vermin": 2.5,
     "technical": -0.8, "self": -0.1, "insult+you": 4.0, "insult+person": 3.0, "insult+this": 2.5, "insult+scorn": 3.5, "insult+wish": 2.0, "insult+harm": 1.0, "scorn+you": 3.5, "body+scorn": 3.0, "person+scorn": 0.8,
-    "harm+you": 2.0, "body+harm": 1.0, "wish+you": 0.6, "body+wish": 0.5, "vermin+you": 1.0, "group+vermin": 4.5, "exclusion+group": 4.5, "group+harm": 3.5, "group+scorn": 5.0, "group+wish": 1.0, "them+vermin": 1.5, "exclusion+them": 1.2,
-    "exclusion+vermin": 2.5, "harm+them": 0.8, "pronoun+sex_act": 3.5, "pronoun+sex_part": 3.5, "clothes+sex_part": 2.5, "sex_act+sex_part": 3.5, "clothes+you": 3.5, "clothes+pronoun": 2.0, "clothes+sex_act": 3.0,
-    "sex_part+you": 5.5, "sex_act+you": 2.5, "sex_act*2": 5.0, "sex_part*2": 1.0, "insult*2": 2.0, "abuse_phrase+you": 1.5, "abuse_phrase*2": 2.0, "insult+technical": -1.5, "technical+sex_act": -1.5, "technical+sex_part": -2.5,
-    "scorn+self": -0.5, "scorn+technical": -1.0, "harm+technical": -0.5, "body+you": 0.3, "insult+abuse_phrase": 2.0, "harm+wish": 1.5, "exclusion*2": 1.5, "harm*2": 0.3, "scorn*2": 1.0,
+    "harm+you": 2.0, "body+harm": 1.0, "wish+you": 0.6, "body+wish": 1.0, "vermin+you": 3.0, "group+vermin": 4.5, "exclusion+group": 4.5, "group+harm": 3.5, "group+scorn": 5.0, "group+wish": 1.0, "them+vermin": 1.5, "exclusion+them": 1.2,
+    "exclusion+vermin": 2.5, "harm+them": 0.8, "pronoun+sex_act": 4.0, "pronoun+sex_part": 4.5, "clothes+sex_part": 2.5, "sex_act+sex_part": 3.5, "clothes+you": 3.5, "clothes+pronoun": 2.0, "clothes+sex_act": 3.0,
+    "sex_part+you": 5.5, "sex_act+you": 2.5, "sex_act*2": 5.0, "sex_part*2": 2.5, "insult*2": 2.0, "abuse_phrase+you": 1.5, "abuse_phrase*2": 2.0, "insult+technical": -1.5, "technical+sex_act": -1.5, "technical+sex_part": -2.5,
+    "scorn+self": -0.5, "scorn+technical": -1.0, "harm+technical": -0.5, "body+you": 0.3, "insult+abuse_phrase": 2.0, "harm+wish": 2.0, "exclusion*2": 1.5, "harm*2": 0.3, "scorn*2": 1.0,
 }

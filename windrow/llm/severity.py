@@ -36,7 +36,8 @@ from windrow.ship import map_arrow
 #: Most labelled texts that the fit uses (those with the least hash of their id), and passages of each.
 MAX_LABELLED, MAX_PASSAGES = 20_000, 40
 WINDOW, STEP = 48, 24
-FLAGGED = 1.0
+#: Expected severity from which a text is flagged for review.
+FLAGGED = 0.5
 
 #: A class that no list holds: "the" before a capitalised word that isn't at the beginning, with are, they, them or the like in the passage.
 DEMONYM, _TOWARDS = "demonym", {"them", "vermin", "exclusion", "hate_phrase"}
@@ -218,11 +219,15 @@ def severity(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def fit_ordinal(rows: list[list[int]], grades: np.ndarray, weights: np.ndarray, start: np.ndarray, spread: float = 0.5, steps: int = 400) -> np.ndarray:
     """Cumulative-link regression about the prior start: the loss is the negative log likelihood plus |w - start|^2 / (2 spread^2)."""
-    n, d = len(rows), len(start) - 2
-    x = np.zeros((n, d), np.float32)
+    # features that no row has keep their prior
+    used = sorted({f for r in rows for f in r})
+    place = {f: i for i, f in enumerate(used)}
+    kept = [*used, len(start) - 2, len(start) - 1]
+    n, d = len(rows), len(used)
+    x = np.zeros((n, d))
     for i, r in enumerate(rows):
-        x[i, r] = 1
-    w, prior_mean = start.copy(), start.copy()
+        x[i, [place[f] for f in r]] = 1
+    w, prior_mean = start[kept].copy(), start[kept].copy()
     moment, square = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         s = x @ w[:d]
@@ -236,30 +241,35 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, weights: np.ndarray,
         square = 0.999 * square + 0.001 * grad**2
         w = w + 0.03 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         w[d + 1] = max(w[d + 1], w[d] + 0.2)
-    return w
+    out = start.copy()
+    out[kept] = w
+    return out
 
 
 def fit(texts: list[tuple[float, list[list[int]]]], rounds: int = 3) -> np.ndarray:
-    """The model from labelled texts, each a grade and the features of its passages."""
+    """The model from labelled texts, each a grade and the features of its passages.
+
+    Passages with the same features and grade are one row with their weights added.
+    """
     w = prior()
     for _ in range(rounds if texts else 0):
-        rows, grades, weight = [], [], []
+        weight: dict[tuple[int, tuple[int, ...]], float] = {}
         for grade, lists in texts:
             if grade > 0:
                 scores = [w[r].sum() for r in lists]
                 if not scores:
                     continue
-                rows.append(lists[int(np.argmax(scores))])
-                grades.append(2 if grade >= 1.5 else 1)
-                # reviewers err: a text in which nothing is found hardly counts
-                weight.append(float(max(0.02, severity(np.array([max(scores)]), w[-2:])[0] / 2)))
+                # reviewers err: a text in which nothing is found hardly counts, nor one passed over in which much is
+                sure = float(max(0.02, severity(np.array([max(scores)]), w[-2:])[0] / 2))
+                key = (2 if grade >= 1.5 else 1, tuple(lists[int(np.argmax(scores))]))
+                weight[key] = weight.get(key, 0.0) + sure
             else:
                 for r in lists:
-                    rows.append(r)
-                    grades.append(0)
-                    weight.append(1.0)
-        if rows:
-            w = fit_ordinal(rows, np.array(grades), np.array(weight), prior())
+                    key = (0, tuple(r))
+                    weight[key] = weight.get(key, 0.0) + float(max(0.02, 1 - severity(np.array([w[r].sum()]), w[-2:])[0] / 2))
+        if weight:
+            rows = sorted(weight)
+            w = fit_ordinal([list(r) for _, r in rows], np.array([g for g, _ in rows]), np.array([weight[k] for k in rows]), prior())
     return w
 
 
@@ -270,7 +280,7 @@ def _labelled(documents: DataFrame, labels: DataFrame) -> list[tuple[float, list
     graded = labels.select(F.col("doc_id").cast("bigint").alias("id"), grade.alias("grade")).filter("id IS NOT NULL AND grade IS NOT NULL")
     graded = graded.groupBy("id").agg(F.median("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("id"), "id").limit(MAX_LABELLED)
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(chosen, "id")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most MAX_LABELLED rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = prior()
