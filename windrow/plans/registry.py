@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.plans import evaluation, genome, periods
+from windrow.plans import datasets, evaluation, genome, periods, sequences
 
-MODULES = (evaluation, genome, periods)
+MODULES = (datasets, evaluation, genome, periods, sequences)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
