@@ -212,7 +212,7 @@ def chi_square_terms(df: DataFrame, group: str, observed: str, expected: str, le
     """Goodness of fit: groups with an expected count below least are pooled as 'Other (pooled)'."""
     name = F.when(F.col(expected) < least, F.lit("Other (pooled)")).otherwise(F.col(group))
     pooled = df.groupBy(name.alias("group")).agg(F.sum(observed).cast("double").alias("observed"), F.sum(expected).alias("expected"))
-    return pooled.withColumn("term", F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected"))
+    return pooled.withColumn("term", F.try_divide(F.pow(F.col("observed") - F.col("expected"), 2), F.col("expected")))
 
 
 def chi_square_p(statistic: float, freedom: int) -> float:

@@ -43,7 +43,7 @@ def leak_counts(best: DataFrame, thresholds: tuple[float, ...] = (50, 70, 80, 90
     """Queries whose best hit reaches each identity at a coverage: one row per threshold, from one pass."""
     per = best.agg(F.count("*").alias("queries"), *(F.count_if((F.col("pident") >= t) & (F.col("qcovs") >= coverage)).alias(f"_{i}") for i, t in enumerate(thresholds)))
     rows = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_{i}").alias("leaked")) for i, t in enumerate(thresholds)))
-    return per.select("queries", F.explode(rows).alias("r")).select("r.threshold", "r.leaked", "queries", (F.col("r.leaked") / F.col("queries")).alias("share"))
+    return per.select("queries", F.explode(rows).alias("r")).select("r.threshold", "r.leaked", "queries", F.try_divide("r.leaked", "queries").alias("share"))
 
 
 def exclusion_reason(product: str, note: str, length: Column, low: int, high: int, overlapping: Column) -> Column:
