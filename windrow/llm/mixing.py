@@ -56,7 +56,8 @@ def pivot(fractions: list[float], sizes: list[float], rng: random.Random) -> tup
         move = up if rng.random() * (up + down) < down else -down
         out[i] += move / sizes[i]
         out[j] -= move / sizes[j]
-        open_at = next((k for k in (i, j) if not settled(k)), None)
+        between = [k for k in (i, j) if not settled(k)]  # one of them at most
+        open_at = between[0] if between else None
     return out, open_at
 
 

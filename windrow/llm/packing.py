@@ -29,6 +29,8 @@ from windrow.storage import materialize
 CAPACITY = 3072
 #: Length classes of the fit, and most texts in a pattern.
 CLASSES, MAX_TEXTS = 384, 16
+#: Texts up to this part of the capacity are in no pattern: they fill the room that patterns leave.
+SHORT = 48
 #: Texts per salted group when ranks are counted, and ranks per block when they are looked up.
 SALTED, RANKS = 1 << 17, 1 << 12
 
@@ -106,7 +108,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         have[k] -= sum(c for _, _, c in got)
         return got
 
-    classes = np.array(sorted(k for k in have if k <= units), np.int64)
+    classes = np.array(sorted(k for k in have if capacity // SHORT < k * unit <= units * unit), np.int64)
     possible = patterns(classes, units) if len(classes) else []
     if possible:
         row = {k: i for i, k in enumerate(classes.tolist())}
@@ -224,6 +226,6 @@ def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     per = packed.filter("container IS NOT NULL").groupBy("container").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used"), F.count("*").alias("texts"))
     tokens, containers = F.coalesce(F.sum("used"), F.lit(0)), F.count("*")
     return per.agg(
-        containers.alias("containers"), tokens.alias("tokens"), (containers * capacity - tokens).alias("unused"), (tokens / (containers * capacity)).alias("fill"),
+        containers.alias("containers"), tokens.alias("tokens"), (containers * capacity - tokens).alias("unused"), F.try_divide(tokens, containers * capacity).alias("fill"),
         F.max("used").alias("fullest"), F.count_if(F.col("used") == capacity).alias("exactly_full"), F.avg("texts").alias("texts_per_container"),
     )

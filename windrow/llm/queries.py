@@ -125,5 +125,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pairs, p1_report, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_split, p5_report, p6_found, p6_sample, p6_report, p7_found, p7_packing, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
 
 
+_STRETCHES = """
+WITH rec AS ({records}),
+word AS (SELECT segment_id, side, unnest(list_transform(range(1, length(bases) - 14), lambda i: substr(bases, i, 16))) AS w FROM rec WHERE length(bases) >= 16),
+str AS (SELECT DISTINCT segment_id, side, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS w FROM word WHERE regexp_full_match(w, '[ACGT]+')),
+n AS (SELECT segment_id, count(*) AS n FROM str GROUP BY segment_id),
+common AS (SELECT a.segment_id AS a, b.segment_id AS b, count(*) AS c FROM str a JOIN str b ON a.w = b.w AND a.segment_id < b.segment_id AND {sides} GROUP BY a.segment_id, b.segment_id)
+SELECT a AS segment_id_a, b AS segment_id_b FROM common JOIN n x ON x.segment_id = a JOIN n y ON y.segment_id = b WHERE {test}
+"""
+_BASES = "SELECT DISTINCT segment_id, {side} AS side, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS bases FROM {table} WHERE segment_id IS NOT NULL AND sequence IS NOT NULL"
+
+_RELATED = r"""
+WITH RECURSIVE k AS (SELECT DISTINCT assembly, coalesce('N' || nullif(regexp_extract(assembly, '(?:^|[^0-9])([0-9]{9})(?:[^0-9]|$)', 1), ''), 'A' || assembly) AS unit,
+  'C' || nullif(upper(regexp_replace(ncbi_id, '^\s+|\s+$', '', 'g')), '') AS contig FROM known_prophages WHERE assembly <> ''),
+e AS (SELECT DISTINCT a.unit AS u, b.unit AS v FROM k a JOIN k b ON a.contig = b.contig UNION SELECT unit, unit FROM k),
+r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+g AS (SELECT u, min(v) AS g FROM r GROUP BY u), m AS (SELECT DISTINCT assembly, g FROM k JOIN g ON g.u = k.unit)
+SELECT a.assembly AS assembly_a, b.assembly AS assembly_b FROM m a JOIN m b ON a.g = b.g AND a.assembly < b.assembly
+"""
+
+_SHORT = """
+WITH p AS (SELECT segment_id, max(label) AS label, max(lower(trim(source))) AS source FROM train WHERE segment_id IS NOT NULL AND label IS NOT NULL AND trim(source) <> '' GROUP BY segment_id),
+c AS (SELECT label, source, count(*) AS n FROM p GROUP BY label, source), s AS (SELECT floor(count(*) * 0.25) AS size FROM p)
+SELECT CAST(t.label AS INT) AS label, t.source FROM label_targets t LEFT JOIN c ON c.label = t.label AND c.source = lower(trim(t.source)), s WHERE coalesce(c.n, 0) < greatest(t.min_rows, t.target_share * s.size)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL twins; the others (texts in tokens, samples, splits, scores) are tested in tests/llm."""
+    three = " UNION ".join(_BASES.format(side=i, table=t) for i, t in enumerate(("train", "val", "test")))
+    return {
+        "p1_found": _STRETCHES.format(records=three, sides="(a.side = 0) <> (b.side = 0)", test="c >= 0.6 * least(x.n, y.n)"),
+        "p3_found": "SELECT DISTINCT segment_id FROM segments WHERE segment_id IS NOT NULL AND length(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) > 8000",
+        "p4_found": _STRETCHES.format(records=_BASES.format(side=0, table="train"), sides="TRUE", test="c >= 0.5 * (x.n + y.n - c)"),
+        "p5_found": _RELATED,
+        "p6_found": _SHORT,
+    }
