@@ -186,7 +186,7 @@ def pooled(vectors: str | Column, how: str, mask: str | Column | None = None) ->
 
 def cell(value: str | Column, digits: int = 6) -> Column:
     """A double as text with fixed digits; empty for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", _c(value)), F.lit(""))
+    return F.when(_c(value).isNotNull(), F.format_string(f"%.{digits}f", _c(value))).otherwise("")
 
 
 def release_stamps(day: str | Column, back: int) -> Column:

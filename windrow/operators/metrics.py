@@ -113,13 +113,13 @@ def threshold_sweep(df: DataFrame, keys: list[str], steps: int = 100, label: str
     k = F.floor(F.col("s") * step)
     # the bin is the greatest k with k/steps <= s, whatever the product was rounded to
     k = F.when((k + 1) / step <= F.col("s"), k + 1).when(k / step > F.col("s"), k - 1).otherwise(k)
-    rows = rows.withColumn("k", F.greatest(F.lit(-1), F.least(k, F.lit(steps))).cast("int"))
-    bins = rows.groupBy(*keys, "k").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    per = bins.groupBy(*keys).agg(F.collect_list(F.struct("k", "pos", "neg")).alias("bins"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    grid = per.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(steps))))
-    at = lambda c: F.aggregate(F.filter("bins", lambda b: b["k"] >= F.col("t")), F.lit(0).cast("bigint"), lambda acc, b: acc + b[c])
-    out = grid.select(*keys, (F.col("t") / step).alias("threshold"), at("pos").alias("tp"), at("neg").alias("fp"), "p", "n")
-    return rates(out.select(*keys, "threshold", "tp", (F.col("n") - F.col("fp")).alias("tn"), "fp", (F.col("p") - F.col("tp")).alias("fn")), 0.0)
+    rows = rows.withColumn("_k", F.greatest(F.lit(-1), F.least(k, F.lit(steps))).cast("int"))
+    bins = rows.groupBy(*keys, "_k").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    per = bins.groupBy(*keys).agg(F.collect_list(F.struct("_k", "pos", "neg")).alias("_bins"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    grid = per.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    at = lambda c: F.aggregate(F.filter("_bins", lambda b: b["_k"] >= F.col("_t")), F.lit(0).cast("bigint"), lambda acc, b: acc + b[c])
+    out = grid.select(*keys, (F.col("_t") / step).alias("threshold"), at("pos").alias("tp"), at("neg").alias("fp"), "_p", "_n")
+    return rates(out.select(*keys, "threshold", "tp", (F.col("_n") - F.col("fp")).alias("tn"), "fp", (F.col("_p") - F.col("tp")).alias("fn")), 0.0)
 
 
 def optimal_thresholds(sweep: DataFrame, keys: list[str], least: float = 0.9) -> DataFrame:
@@ -191,10 +191,10 @@ def regression(df: DataFrame, keys: list[str], truth: str, guess: str) -> DataFr
 def multiclass(df: DataFrame, keys: list[str], truth: str, guess: str) -> DataFrame:
     """Accuracy, weighted and macro precision, recall and f1, and the multiclass mcc, from counts per pair of classes."""
     rows = df.filter(F.col(truth).isNotNull() & F.col(guess).isNotNull())
-    pairs = rows.groupBy(*keys, F.col(truth).alias("t"), F.col(guess).alias("g")).agg(F.count("*").alias("c"))
-    sides = pairs.select(*keys, F.col("t").alias("k"), F.col("c").alias("support"), F.lit(0).cast("bigint").alias("called"), F.when(F.col("t") == F.col("g"), F.col("c")).otherwise(0).alias("hit"))
-    sides = sides.unionByName(pairs.select(*keys, F.col("g").alias("k"), F.lit(0).cast("bigint").alias("support"), F.col("c").alias("called"), F.lit(0).cast("bigint").alias("hit")))
-    per = sides.groupBy(*keys, "k").agg(F.sum("support").cast("double").alias("support"), F.sum("called").cast("double").alias("called"), F.sum("hit").cast("double").alias("hit"))
+    pairs = rows.groupBy(*keys, F.col(truth).alias("_t"), F.col(guess).alias("_g")).agg(F.count("*").alias("c"))
+    sides = pairs.select(*keys, F.col("_t").alias("_cls"), F.col("c").alias("support"), F.lit(0).cast("bigint").alias("called"), F.when(F.col("_t") == F.col("_g"), F.col("c")).otherwise(0).alias("hit"))
+    sides = sides.unionByName(pairs.select(*keys, F.col("_g").alias("_cls"), F.lit(0).cast("bigint").alias("support"), F.col("c").alias("called"), F.lit(0).cast("bigint").alias("hit")))
+    per = sides.groupBy(*keys, "_cls").agg(F.sum("support").cast("double").alias("support"), F.sum("called").cast("double").alias("called"), F.sum("hit").cast("double").alias("hit"))
     zero = lambda a, b: F.when(b != 0, a / b).otherwise(0.0)
     per = per.withColumns({"p": zero(F.col("hit"), F.col("called")), "r": zero(F.col("hit"), F.col("support")), "f": zero(2 * F.col("hit"), F.col("called") + F.col("support"))})
     w = F.sum("support")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,11 +148,6 @@ def is_primary_key(df: DataFrame, column: str) -> bool:
 
 def read_arrays(spark: SparkSession, path: str | list[str], length: int | None = None) -> DataFrame:
     """.npy files as (source_file, values): the first column of two-dimensional ones; padded with 0 or cut to length."""
-    import io
-
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def load(content: pd.Series) -> pd.Series:
         out = []
@@ -166,7 +165,7 @@ def read_arrays(spark: SparkSession, path: str | list[str], length: int | None =
 def write_delimited(df: DataFrame, path: str, sep: str = ",", digits: int | None = None, header: bool = True, mode: str = "error") -> None:
     """CSV or TSV in the columns' order; doubles with fixed digits if given; null is empty."""
     if digits is not None:
-        df = df.select(*(F.format_string(f"%.{digits}f", F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+        df = df.select(*(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
     df.write.mode(mode).csv(path, sep=sep, header=header, emptyValue="", nullValue="")
 
 
