@@ -165,3 +165,9 @@ def base_places(seq: str | Column, base: str) -> Column:
     """0-based places of a letter."""
     letters = F.split(_c(seq), "")
     return F.filter(F.transform(letters, lambda c, i: F.when(c == base, i)), lambda x: x.isNotNull())
+
+
+def rectangular(df, ids: str, name: str = "padded"):
+    """df with its token vectors padded to the longest of all; one pass finds that length."""
+    longest = df.agg(F.coalesce(F.max(F.size(ids)), F.lit(0))).first()[0]
+    return df.withColumn(name, pad(ids, max(1, longest)))

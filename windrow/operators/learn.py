@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.sequences import kmers, reverse_complement
@@ -132,7 +132,9 @@ def sketch_distances(df: DataFrame, key: str, sequence: str, k: int = 21, size:
 
 
 def numbered_clusters(components: DataFrame) -> DataFrame:
-    """components(node, component) with cluster numbers from 0 by size, the greatest first."""
-    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    numbers = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("size"), "component")) - 1)
+    """components(node, component) with cluster numbers from 0 by size, the greatest first; numbers are counted per range of sizes."""
+    from windrow.operators.selection import placed
+
+    sizes = components.groupBy("component").agg(F.count("*").alias("size")).withColumn("_o", F.struct((-F.col("size")).alias("s"), "component"))
+    numbers = placed(sizes, "_o").select("component", "size", F.col("place").alias("cluster"))
     return components.join(numbers, "component").select("node", "cluster", "size")

@@ -244,3 +244,44 @@ def chi_square_p(statistic: float, freedom: int) -> float:
         if abs(d * c - 1) < 1e-15:
             break
     return front * h
+
+
+def one_vs_rest_auc(df: DataFrame, keys: list[str], truth: str, scores: dict[int, str]) -> DataFrame:
+    """Areas under the ROC curve of each class against the rest, weighted by the classes' numbers: (keys, auc)."""
+    parts = F.array(*(F.struct(F.lit(c).alias("_cls"), F.col(s).cast("double").alias("_s"), (F.col(truth) == c).cast("int").alias("_y")) for c, s in scores.items()))
+    long = df.filter(F.col(truth).isNotNull()).select(*keys, F.explode(parts).alias("_x")).select(*keys, "_x.*")
+    per = roc_auc(long, [*keys, "_cls"], "_y", "_s").filter("auc IS NOT NULL")
+    return per.groupBy(*keys).agg((F.sum(F.col("auc") * F.col("positives")) / F.sum("positives")).alias("auc"))
+
+
+def top_k_accuracy(df: DataFrame, keys: list[str], truth: str, scores: str, k: int) -> DataFrame:
+    """Share of rows whose class is among the k greatest of an array of scores (the lesser class first on ties)."""
+    ranked = F.array_sort(F.transform(F.col(scores), lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
+    hit = F.array_contains(F.transform(F.slice(ranked, 1, k), lambda x: x["i"]), F.col(truth).cast("int"))
+    rows = df.filter(F.col(truth).isNotNull() & F.col(scores).isNotNull())
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(hit.cast("double")).alias("accuracy"))
+
+
+def multilabel_f1_max(df: DataFrame, keys: list[str], labels: str, scores: str) -> DataFrame:
+    """The greatest pooled f1 over all thresholds, of arrays of labels (0 or 1) and scores: (keys, f1_max, threshold)."""
+    zipped = F.explode(F.arrays_zip(F.col(labels).alias("y"), F.col(scores).alias("s")))
+    long = df.select(*keys, zipped.alias("_x")).select(*keys, F.col("_x.y").cast("int").alias("_y"), F.col("_x.s").cast("double").alias("_s"))
+    c = curve(long, keys, "_y", "_s")
+    # tp / tpr is the number of positives
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("tp") / F.col("tpr"))).otherwise(0.0)
+    return c.withColumn("f1", f1).groupBy(*keys).agg(F.max("f1").alias("f1_max"), F.max_by("threshold", F.struct("f1", "threshold")).alias("threshold"))
+
+
+def histogram(df: DataFrame, keys: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
+    """(keys, bin, start, end, n): equal bins from low to high, values beyond in the outer ones; the data of a density plot."""
+    v = F.col(value)
+    width = (high - low) / bins
+    b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v - low) / F.lit(width)))).cast("int")
+    return df.filter(v.isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n")).select(*keys, "bin", (F.lit(low) + F.col("bin") * width).alias("start"), (F.lit(low) + (F.col("bin") + 1) * width).alias("end"), "n")
+
+
+def running_loss(df: DataFrame, keys: list[str], loss: str, tokens: str) -> DataFrame:
+    """Token-weighted loss and perplexity of batches: sums that merge."""
+    t = F.sum(tokens)
+    out = df.groupBy(*keys).agg(t.alias("tokens"), F.try_divide(F.sum(F.col(loss) * F.col(tokens)), t).alias("loss"))
+    return out.withColumn("perplexity", F.exp("loss"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.functions.annotations import bare_accession, contains_any
+from windrow.storage import materialize
 
 
 def representatives(meta: DataFrame, completeness: float = 95.0, contamination: float = 5.0) -> DataFrame:
@@ -81,9 +82,7 @@ def missing_both_ways(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def joined_by_place(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
-    """Rows of two tables side by side by their place in order; places are counted per range of the order key, in salted blocks."""
-    from windrow.operators.selection import placed
-
+    """Rows of two tables side by side by their place in order."""
     return placed(left, left_order).join(placed(right, right_order), "place")
 
 
@@ -92,9 +91,47 @@ def placed(df: DataFrame, order: str) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
     rows = rows.withColumn("_part", F.shiftright("_m", 33)).withColumn("_own", F.col("_m").bitwiseAND((1 << 33) - 1))
-    from windrow.storage import materialize
-
     rows = materialize(rows.drop("_m"), "placed")
     per = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     per = per.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return rows.join(per, "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
+def locate(accessions: DataFrame, files: DataFrame) -> DataFrame:
+    """accessions(accession) with the path of files(accession, path), of the other archive where their own has none, and found."""
+    from windrow.functions.annotations import other_archive
+
+    own = files.filter("accession IS NOT NULL").groupBy("accession").agg(F.min("path").alias("_own"))
+    other = own.select(F.col("accession").alias("_alt"), F.col("_own").alias("_other"))
+    rows = accessions.withColumn("_alt", other_archive("accession")).join(own, "accession", "left").join(other, "_alt", "left")
+    return rows.withColumn("path", F.coalesce("_own", "_other")).withColumn("found", F.col("path").isNotNull()).drop("_alt", "_own", "_other")
+
+
+def drop_containing(records: DataFrame, ids: DataFrame, column: str, id_col: str, pattern: str = r"GC[AF]_[0-9]+(?:\.[0-9]+)?") -> DataFrame:
+    """Records whose column holds none of the ids: ids are cut out by their pattern and compared, with and without version."""
+    version = r"\.[0-9]+$"
+    bad = ids.select(F.explode(F.array(F.col(id_col), F.regexp_replace(id_col, version, ""))).alias("_k")).filter("_k IS NOT NULL").distinct()
+    found = F.regexp_extract_all(F.col(column), F.lit(f"({pattern})"), 1)
+    marks = records.select(column, F.explode(found).alias("_m")).select(column, F.explode(F.array(F.col("_m"), F.regexp_replace("_m", version, ""))).alias("_k"))
+    return records.join(marks.join(bad, "_k").select(column).distinct(), column, "left_anti")
+
+
+def in_range(df: DataFrame, value: str, ranges: DataFrame) -> DataFrame:
+    """df with the columns of the row of ranges(low, high, ...) for which low < value <= high; of several the one with the least low.
+
+    Only distinct values meet the ranges, of which there are few by nature (length classes).
+    """
+    rest = [c for c in ranges.columns if c not in ("low", "high")]
+    values = df.select(F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL").distinct()
+    hit = values.join(ranges, (F.col("low") < F.col("_v")) & (F.col("_v") <= F.col("high"))).groupBy("_v").agg(F.min(F.struct("low", "high", *rest)).alias("_r"))
+    return df.withColumn("_v", F.col(value).cast("double")).join(hit, "_v", "left").select(*df.columns, *(F.col(f"_r.{c}").alias(c) for c in ("low", "high", *rest)))
+
+
+def first_existing(spark, paths: list[str]) -> str | None:
+    """The first of several places that exists."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return p
+    return None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     home = Path(__file__).resolve().parent
-    to = Path(tempfile.mkdtemp(prefix="windrow-ship-")) / f"{home.name}.zip"
+    folder = tempfile.mkdtemp(prefix="windrow-ship-")  # the driver's; Spark hands the file on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = Path(folder) / f"{home.name}.zip"
     with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as archive:
         for file in sorted(home.rglob("*.py")):
             archive.write(file, f"{home.name}/{file.relative_to(home)}")

@@ -182,6 +182,13 @@ def write_documents(df: DataFrame, path: str, key: str, mode: str = "error") ->
 
 
 def equal_chunks(df: DataFrame, order: str, n: int) -> DataFrame:
-    """df with chunk from 1 to n in order, of equal numbers of rows; ids only pass the ordered step."""
-    ids = df.select(order).withColumn("chunk", F.ntile(n).over(Window.orderBy(order)))
-    return df.join(ids, order)
+    """df with chunk from 1 to n in order, of equal numbers of rows (the first ones have one more); places are counted per range, not in one task."""
+    from windrow.operators.selection import placed
+
+    ids = placed(df.select(order), order)
+    total = ids.count()
+    size, more = total // n, total % n
+    p = F.col("place")
+    head = more * (size + 1)
+    chunk = F.when(p < head, F.floor(p / F.lit(size + 1))).otherwise(F.lit(more) + F.floor((p - head) / F.lit(max(1, size)))) + 1
+    return df.join(ids.select(order, chunk.cast("int").alias("chunk")), order)

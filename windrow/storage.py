@@ -8,6 +8,8 @@ Tables are written as Parquet, so a lost executor loses nothing and a later read
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,11 +39,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/windrow/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    _written[path] = spark
+    remember(path, spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember(path: str, spark: SparkSession) -> None:
+    """Delete this path when the process ends."""
+    _written[path] = spark
+
+
 def _delete(path: str, spark: SparkSession) -> None:
+    plain = path.removeprefix("file://").removeprefix("file:")
+    if plain.startswith("/") and os.path.isdir(plain):  # also when the session has ended already
+        shutil.rmtree(plain, ignore_errors=True)
+        return
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

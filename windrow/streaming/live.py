@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrow.operators.metrics import confusion, rates
-from windrow.storage import shared_dir
+from windrow.storage import remember, shared_dir
 
 #: Files taken up in one step of a stream.
 FILES = 16
@@ -51,6 +51,8 @@ def run_available(df: DataFrame, name: str, mode: str = "complete") -> DataFrame
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/windrow-stream/{name}-{uuid.uuid4().hex}"
 
+    remember(at, spark)
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/table")
 
