@@ -96,7 +96,9 @@ def test_groups_are_the_components_of_the_pairs(spark):
     assert all(r["group_size"] == sizes[r["group_id"]] for r in groups.values())
 
 
-def test_cross_split_pairs(spark):
+@pytest.mark.parametrize("cap", [minwise.CAP, 2])
+def test_cross_split_pairs(spark, monkeypatch, cap):
+    monkeypatch.setattr(minwise.candidates, "__defaults__", (1, cap, "found"))
     rng = random.Random(4)
     base = [dna(rng, 700) for _ in range(6)]
     train = [(f"t{i}", s) for i, s in enumerate(base)] + [("t_copy", base[0])]

@@ -1,12 +1,13 @@
 """Problem 1: records of evaluation splits that are also, wholly or nearly, in the training split.
 
-Minwise hashing with banded buckets: 48 orders of the stretches, the least stretch under each, a
+Minwise hashing with banded buckets: 72 orders of the stretches, the least stretch under each, a
 band per value. What counts is the share of the smaller record's stretches that the larger one has
 (0.6), and between records of different size that means a low Jaccard similarity, so a band has
-one value, and a candidate must share two bands (one of 1,128 bands of two values). A pair
-with a Jaccard similarity of 0.185 (0.6 at sizes 1 : 2.8, or all of the smaller at 1 : 5.4)
-is missed with probability 6e-4, one of 0.3 with 8e-7. Only pairs of a training and an evaluation
-record are kept, and they are checked exactly on all their distinct stretches.
+one value, and a candidate must share two bands (one of 2,556 bands of two values). A pair
+with a Jaccard similarity of 0.13 (0.6 at sizes 1 : 4.2, or all of the smaller at 1 : 7.7)
+is missed with probability 5e-4, one of 0.185 with 7e-6; where the sizes differ more, the probability
+rises. Only pairs of a training and an evaluation record are kept, and they are checked exactly
+on all their distinct stretches.
 
 Defined cases: rows with a null id are left out; repeated rows count once; labels and sources that are
 null stay null; sequences without a stretch are in no pair; empty tables give empty results
@@ -22,7 +23,7 @@ from windrow.llm import minwise
 from windrow.llm.stretches import multipliers
 from windrow.llm.tables import tidy
 
-ORDERS, LEAST_HITS = 48, 2
+ORDERS, LEAST_HITS = 72, 2
 
 
 def _side(df: DataFrame, split: int, columns: dict[str, str]) -> DataFrame:
