@@ -146,6 +146,13 @@ def test_controlled_rounding_keeps_margins():
         assert near(sum(got.values()), sum(cells.values()))
 
 
+def test_wants_keep_the_size():
+    assert qs.scaled_wants([0.5, 0.5], [0, 0], 10) == [5, 5]
+    w = qs.scaled_wants([0.6, 0.38, 0.02], [0, 0, 20], 100)
+    assert w[2] == 20 and abs(sum(w) - 100) < 1e-6 and abs(w[0] / w[1] - 0.6 / 0.38) < 1e-6
+    assert qs.scaled_wants([0.5, 0.5], [80, 40], 100) == [80, 40]
+
+
 def test_quota_sample(spark):
     rows = [(f"a{i}", 0, "GTDB ") for i in range(600)] + [(f"b{i}", 1, "inphared") for i in range(300)] + [(f"c{i}", 1, "rare") for i in range(2)] + [(f"d{i}", None, "gtdb") for i in range(50)] + [(f"e{i}", 1, None) for i in range(50)] + [("a1", 0, "gtdb")] * 3 + [(f"f{i}", 1, "other") for i in range(98)]
     df = spark.createDataFrame(rows, "segment_id string, label int, source string")

@@ -1,5 +1,6 @@
 """Problem 6: a sample whose shares per category follow targets, with minima, and what falls short.
 
+Where minima raise some quotas above their share, the others shrink alike, so that the size stays the given one.
 Controlled rounding: the fractional quotas of a two-way table (label by source) are made integer by a
 maximal flow with lower bounds, so that each cell, row, column and the total is its value rounded down or up.
 Each cell then gives exactly its quota, the records with the least random keys: a histogram of
@@ -87,6 +88,18 @@ def _pool(df: DataFrame, id_col: str, label_col: str, source_col: str) -> DataFr
     return rows.groupBy("id").agg(F.max("label").alias("label"), F.max("source").alias("source"))
 
 
+def scaled_wants(shares: list[float], minima: list[float], size: int) -> list[float]:
+    """max(minimum, scale * share * size) with the scale, at most 1, that makes the sum size if it can be."""
+    at = lambda scale: [max(float(m), scale * s * size) for s, m in zip(shares, minima, strict=True)]
+    if sum(at(1.0)) <= size:
+        return at(1.0)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if sum(at(middle)) > size else (middle, high)
+    return at(low)
+
+
 _QUOTAS = "label int, source string, target_share double, min_rows bigint, pool_rows bigint, wanted double, quota bigint, short boolean"
 
 
@@ -97,7 +110,8 @@ def _quotas(fraction: float):
         pdf["pool_rows"] = pdf["n"].astype("int64")
         pdf["wanted"] = [max(float(m), s * size) for m, s in zip(pdf["min_rows"], pdf["target_share"], strict=True)]
         pdf["short"] = pdf["pool_rows"] < pdf["wanted"]
-        cells = {(r, c): min(float(p), w) for r, c, p, w in zip(pdf["label"], pdf["source"], pdf["pool_rows"], pdf["wanted"], strict=True)}
+        wants = scaled_wants(pdf["target_share"].tolist(), pdf["min_rows"].tolist(), size)
+        cells = {(r, c): min(float(p), w) for r, c, p, w in zip(pdf["label"], pdf["source"], pdf["pool_rows"], wants, strict=True)}
         whole = controlled_rounding(cells)
         pdf["quota"] = [whole[r, c] for r, c in zip(pdf["label"], pdf["source"], strict=True)]
         return pdf[["label", "source", "target_share", "min_rows", "pool_rows", "wanted", "quota", "short"]]
