@@ -72,15 +72,11 @@ _END = re.compile(r"(?<=[.!])[\"'”’)\]]*\s+|(?<=[.!?\"”])\s*\n+\s*|\n\s*\n
 _EDGE = re.compile(r"^[^\w@$!*%#]+|[^\w@$*%#]+$")
 _RUN = re.compile(r"(\w)\1{2,}")
 _LETTER = re.compile(r"[^\W\d_]")
+_NUMBERED = re.compile(r"([^\W\d_]+)[0-9]+|\w+_[^\W\d_]+[0-9]+|[^\W\d_]+-[^\W\d_]+[0-9]+")
+_SIGN = re.compile(r"[@$!|0-9€]")
 _SAME = re.compile(r"(.)\1+")
 
 
-def _swaps(word: str) -> Iterator[str]:
-    for i in range(len(word) - 1):
-        if word[i] != word[i + 1]:
-            yield word[:i] + word[i + 1] + word[i] + word[i + 2 :]
-
-
 def _entry(word: str) -> str | None:
     """The lexicon entry that a plain word belongs to."""
     if word in _WORDS:
@@ -94,6 +90,27 @@ def _entry(word: str) -> str | None:
 _SINGLE = {_SAME.sub(r"\1", w): w for w in reversed(_ENTRIES) if len(w) > 3}
 
 
+_BAGS: dict[int, dict[str, list[str]]] = {}
+for _e in _ENTRIES:
+    if len(_e) > 4:
+        _BAGS.setdefault(len(_e), {}).setdefault("".join(sorted(_e)), []).append(_e)
+
+
+def _swapped(word: str) -> str | None:
+    """The entry of a word in which two neighbouring letters have changed places; looked up by the letters it has."""
+    for n, bags in _BAGS.items():
+        if n > len(word):
+            continue
+        head = word[:n]
+        for e in bags.get("".join(sorted(head)), ()):
+            off = [i for i in range(n) if e[i] != head[i]]
+            if len(off) == 2 and off[1] == off[0] + 1 and (e in _STEMS or n == len(word)):
+                return e
+        if n < len(word) and (e := word[: n - 1] + word[n]) in _STEMS:
+            return e
+    return None
+
+
 def _known(word: str) -> str | None:
     """The same for a word in disguise: repeated, swapped or hidden letters."""
     if found := _entry(word):
@@ -102,14 +119,12 @@ def _known(word: str) -> str | None:
         for to in (r"\1", r"\1\1"):
             if found := _entry(_RUN.sub(to, word)):
                 return found
-        single = _SAME.sub(r"\1", word)
+        single = _SAME.sub(r"\1", word)[:20]  # no entry is longer
         for n in range(len(single), 3, -1):
             if (found := _SINGLE.get(single[:n])) and (n == len(single) or found in _STEMS):
                 return found
     if 4 < len(word) < 15 and word.isalpha():
-        for other in _swaps(word):
-            if (found := _entry(other)) and len(found) > 4:
-                return found
+        return _swapped(word)
     return None
 
 
@@ -132,7 +147,9 @@ def words(raw: str) -> tuple[tuple[str, str | None], ...]:
                 if len(entry) > 3 and re.fullmatch(shape + (r"" if entry in _WORDS else r"?"), entry):
                     return ((entry, entry),)
         return ((token, None),)
-    if re.search(r"[^\W\d_]", token) and re.search(r"[@$!|0-9€]", token):
+    if numbered := _NUMBERED.fullmatch(token):  # a name with a number, not letters in disguise
+        return ((token, _entry(numbered[1]) if numbered[1] else None),)
+    if len(token) <= 24 and _SIGN.search(token):
         plain = token.translate(_SIGNS)
         for guess in (plain, token.translate(str.maketrans("@$!|013457€", "aslloieaste")), token.translate(str.maketrans("@$!|013457€", "asiloleaste"))):
             guess = re.sub(r"[^\w'-]", "", guess)
@@ -169,22 +186,52 @@ def passages(text: str) -> Iterator[list[str]]:
                 yield pieces[at : at + WINDOW]
 
 
+#: Pieces of text that say nothing: no word of theirs is in the lexicon or begins a phrase.
+_dull: set[str] = set()
+_SECOND = {first: ({p[1] for p in phrases}, tuple(p[1] for p in phrases if len(p[1]) > 4)) for first, phrases in _FIRST.items()}
+
+
+def _begins(ahead: list[tuple[str, str | None]], phrase: tuple[str, ...]) -> bool:
+    """Whether the words ahead go on with the rest of a phrase."""
+    if len(ahead) < len(phrase) - 1:
+        return False
+    return all(w == p or e == p or (len(p) > 4 and w.startswith(p)) for (w, e), p in zip(ahead, phrase[1:], strict=False))
+
+
 def features(pieces: list[str]) -> list[int]:
     """The numbers of the features of a passage."""
-    read = [w for p in pieces for w in words(p)]
     count: dict[str, int] = {}
     out = set()
-    for i, (word, entry) in enumerate(read):
-        if entry is not None:
-            out.add(_NUMBER[f"word {entry}"])
-            for c in _WORDS.get(entry, ()) or _STEMS[entry]:
-                count[c] = count.get(c, 0) + 1
-        for phrase in _FIRST.get(entry or word, ()) or _FIRST.get(word, ()):
-            rest = read[i + 1 : i + len(phrase)]
-            if len(rest) == len(phrase) - 1 and all(w == p or e == p or (len(p) > 4 and w.startswith(p)) for (w, e), p in zip(rest, phrase[1:], strict=True)):
-                out.add(_NUMBER["phrase " + " ".join(phrase)])
-                for c in _PHRASES[phrase]:
+    for i, piece in enumerate(pieces):
+        if piece in _dull:
+            continue
+        here = words(piece)
+        says = False
+        for k, (word, entry) in enumerate(here):
+            if entry is not None:
+                says = True
+                out.add(_NUMBER[f"word {entry}"])
+                for c in _WORDS.get(entry, ()) or _STEMS[entry]:
                     count[c] = count.get(c, 0) + 1
+            phrases = _FIRST.get(entry or word) or _FIRST.get(word)
+            if phrases:
+                says = True
+                ahead = list(here[k + 1 :])
+                j = i + 1
+                while not ahead and j < len(pieces):
+                    ahead, j = list(words(pieces[j])), j + 1
+                seconds, long = _SECOND[phrases[0][0]]
+                if not ahead or not (ahead[0][0] in seconds or ahead[0][1] in seconds or ahead[0][0].startswith(long)):
+                    continue
+                while len(ahead) < 8 and j < len(pieces):
+                    ahead, j = ahead + list(words(pieces[j])), j + 1
+                for phrase in phrases:
+                    if _begins(ahead, phrase):
+                        out.add(_NUMBER["phrase " + " ".join(phrase)])
+                        for c in _PHRASES[phrase]:
+                            count[c] = count.get(c, 0) + 1
+        if not says and len(_dull) < 500_000:
+            _dull.add(piece)
     if "are" in pieces or not _TOWARDS.isdisjoint(count):
         for a, b in zip(pieces, pieces[1:]):
             if a.lower() == "the" and b[:1].isupper() and (name := b.rstrip(",.;:!?\"”")).isalpha() and name[1:].islower() and words(b)[0][1] is None:
