@@ -33,13 +33,23 @@ def reverse_complement(seq: str | Column) -> Column:
     return F.reverse(F.translate(_c(seq), "ACGTacgt", "TGCAtgca"))
 
 
+#: Words that are cut from one part of a sequence: finding a place in a string takes time in proportion to it.
+_PART = 128
+
+
 def kmers(seq: str | Column, k: int, shift: int = 1, offset: int = 0) -> Column:
-    """The k-mers from the offset on, every shift letters; an empty array where the sequence is too short."""
+    """The k-mers from the offset on, every shift letters; an empty array where the sequence is too short.
+
+    The sequence is cut into parts first and the words from these, so the time doesn't grow with the square of the length.
+    """
     if not 0 <= offset < max(1, shift):
         raise ValueError("the offset must be less than the shift")
     s = _c(seq)
-    last = F.length(s) - k + 1
-    return F.when(last >= offset + 1, F.transform(F.sequence(F.lit(offset + 1), last, F.lit(shift)), lambda i: F.substring(s, i, F.lit(k)))).when(s.isNotNull(), F.array().cast("array<string>"))
+    many = F.floor((F.length(s) - k - offset) / F.lit(shift)) + 1
+    parts = F.transform(F.sequence(F.lit(0).cast("bigint"), F.floor((many - 1) / F.lit(_PART))), lambda b: F.struct(
+        F.substring(s, (b * (_PART * shift) + (offset + 1)).cast("int"), F.lit((_PART - 1) * shift + k)).alias("t"), F.least(F.lit(_PART).cast("bigint"), many - b * _PART).cast("int").alias("n")))
+    words = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda j: F.substring(p["t"], j * shift + 1, F.lit(k)))))
+    return F.when(many >= 1, words).when(s.isNotNull(), F.array().cast("array<string>"))
 
 
 def kmer_number(word: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions.sequences import kmers, reverse_complement
+from windrow.storage import materialize
 
 
 def kmer_vector(sequence: str | Column, k: int = 4) -> Column:
@@ -105,8 +106,9 @@ def silhouette(df: DataFrame, key: str, features: str, label: str, every: int =
 
 def sketch(sequence: str | Column, k: int = 21, size: int = 100) -> Column:
     """The least hashes (hexadecimal, 16 digits) of the distinct words of A, C, G, T and their complements."""
-    words = F.filter(kmers(sequence, k), lambda w: w.rlike("^[ACGT]+$"))
-    hashes = F.transform(words, lambda w: F.substring(F.md5(F.least(w, reverse_complement(w))), 1, 16))
+    # the words of the other strand, from its end, are the complements of those of this one
+    words = F.zip_with(kmers(sequence, k), F.reverse(kmers(reverse_complement(sequence), k)), lambda a, b: F.least(a, b))
+    hashes = F.transform(F.filter(words, lambda w: F.translate(w, "ACGT", "") == ""), lambda w: F.substring(F.md5(w), 1, 16))
     return F.slice(F.array_sort(F.array_distinct(hashes)), 1, size)
 
 
@@ -120,7 +122,7 @@ def sketch_distances(df: DataFrame, key: str, sequence: str, k: int = 21, size:
 
     t = math.exp(-k * most) / (2 - math.exp(-k * most))
     prefix = max(1, math.ceil((1 - t) * size) + 1)
-    s = df.select(F.col(key).alias("k"), sketch(sequence, k, size).alias("s")).filter(F.size("s") > 0)
+    s = materialize(df.select(F.col(key).alias("k"), sketch(sequence, k, size).alias("s")).filter(F.size("s") > 0), "sketches")
     marks = s.select("k", F.explode(F.slice("s", 1, prefix)).alias("h"))
     a, b = marks.select(F.col("k").alias("a"), "h"), marks.select(F.col("k").alias("b"), "h")
     pairs = a.join(b, "h").filter("a < b").select("a", "b").distinct()

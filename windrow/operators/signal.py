@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.operators.metrics import rates
-from windrow.ship import map_groups
+from windrow.ship import with_run_columns
 
 
 def collapse(df: DataFrame, keys: list[str], step: int = 1000, strict_majority: bool = True) -> DataFrame:
@@ -83,14 +83,7 @@ def ewm_both_ways(values: np.ndarray, span: int) -> np.ndarray:
 
 def smooth(df: DataFrame, keys: list[str], order: str, value: str, span: int, name: str = "smooth") -> DataFrame:
     """df with its values smoothed in both directions along order, per key."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order], kind="stable")
-        pdf[name] = ewm_both_ways(pdf[value].to_numpy(dtype=float), span)
-        return pdf
-
-    return map_groups(df, keys, run, fields)
+    return with_run_columns(df, keys, [order], value, lambda v: [ewm_both_ways(v, span)], [name])
 
 
 def _islands(rows: DataFrame, keys: list[str], new: Column, order: list) -> DataFrame:
@@ -138,18 +131,15 @@ def rolling(df: DataFrame, keys: list[str], order: str, value: str, width: int)
     return df.withColumns({"rolling_sum": F.sum(value).over(w), "rolling_mean": F.avg(value).over(w), "rolling_median": F.percentile(value, 0.5).over(w)})
 
 
-def rolling_mad(df: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
-    """df with the median and the median absolute deviation of each centred frame; each frame has its own median."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", rolling_median double, rolling_mad double"
+def _medians(v: np.ndarray, width: int) -> list[np.ndarray]:
+    frames = [v[max(0, i - width // 2) : i + (width - 1) // 2 + 1] for i in range(len(v))]
+    middle = np.array([np.median(f) for f in frames])
+    return [middle, np.array([np.median(np.abs(f - c)) for f, c in zip(frames, middle, strict=True)])]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        v = pdf[value].to_numpy(dtype=float)
-        frames = [v[max(0, i - width // 2) : i + (width - 1) // 2 + 1] for i in range(len(v))]
-        middle = [float(np.median(f)) for f in frames]
-        return pdf.assign(rolling_median=middle, rolling_mad=[float(np.median(np.abs(f - c))) for f, c in zip(frames, middle, strict=True)])
 
-    return map_groups(df, keys, run, fields)
+def rolling_mad(df: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
+    """df with the median and the median absolute deviation of each centred frame; each frame has its own median."""
+    return with_run_columns(df, keys, [order], value, lambda v: _medians(v, width), ["rolling_median", "rolling_mad"])
 
 
 def moving_average(df: DataFrame, keys: list[str], order: str, value: str, width: int, stride: int = 1) -> DataFrame:

@@ -22,8 +22,12 @@ def query(sql: str | None = None):
 
 
 def records(spark, d, name="val"):
-    """(segment_id, sequence) of a split, each once, in clean upper-case letters."""
+    """(segment_id, sequence) of a split, each once, in clean upper-case letters.
+
+    The number of partitions is fixed, so that they aren't merged by their size: what follows multiplies the rows.
+    """
     t = spark.read.parquet(f"{d}/{name}.parquet").filter("segment_id IS NOT NULL AND sequence IS NOT NULL")
+    t = t.select("segment_id", "sequence").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment_id")
     return t.groupBy("segment_id").agg(F.max(sq.clean_bases("sequence")).alias("sequence"))
 
 

@@ -8,6 +8,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
@@ -39,3 +41,49 @@ def map_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataFra
     """Grouped applyInPandas for functions that use this package."""
     ship(df.sparkSession)
     return df.groupBy(*keys).applyInPandas(function, schema)
+
+
+def with_run_columns(df: DataFrame, keys: list[str], order: list[str], value: str, compute, names: list[str]) -> DataFrame:
+    """df with double columns that compute(values of a key in order) returns, a list of arrays as long as the values.
+
+    Rows are partitioned by key and sorted, and stream through in batches; only the key that a batch ends in is held. So many
+    small keys cost no call into Python each, and no task holds more than one key.
+    """
+    columns = df.columns
+
+    def runs(pdf: pd.DataFrame) -> np.ndarray:
+        new = np.ones(len(pdf), bool)
+        if len(pdf) > 1:
+            same = np.ones(len(pdf) - 1, bool)
+            for k in keys:
+                c = pdf[k]
+                gone = c.isna().to_numpy()
+                v = c.to_numpy(dtype=object)
+                same &= ((v[1:] == v[:-1]) & ~gone[1:] & ~gone[:-1]) | (gone[1:] & gone[:-1])
+            new[1:] = ~same
+        return np.flatnonzero(new)
+
+    def computed(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v = pdf[value].to_numpy(dtype=float)
+        parts = [compute(v[a:b]) for a, b in zip(starts, [*starts[1:], len(v)], strict=True)]
+        return pdf.assign(**{n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)})
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            starts = runs(pdf)
+            last = starts[-1]
+            if last:
+                yield computed(pdf.iloc[:last], starts[:-1])
+            held = pdf.iloc[last:]
+        if held is not None and len(held):
+            yield computed(held, np.array([0]))
+
+    ship(df.sparkSession)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in columns)
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInPandas(run, fields + "".join(f", `{n}` double" for n in names))
