@@ -127,6 +127,15 @@ def test_severity_of_plain_and_disguised_language(spark):
     assert rates["texts"] == len(rows) and rates["flagged"] == len(BAD) + 1
 
 
+@pytest.mark.parametrize("token, entries", [
+    *((t, [e]) for t, e in zip("rat5 pig5 dog5 ape5 slu7 cun7 idio7 whor3 pu74 p357 b347 d13 g45".split(), "rats pigs dogs apes slut cunt idiot whore puta pest beat die gas".split(), strict=True)),
+    ("stupid-idiot1", ["stupid", "idiot"]), ("you-idio7", ["you", "idiot"]), ("you_idio7", ["you", "idiot"]), ("such-a-very-long-token-with-stup1d-idio7", ["stupid", "idiot"]), ("you/id*ot", ["you", "idiot"]),
+    ("phage7", ["phage"]), ("idi.0t", ["idiot"]), ("bra1n-d3ad", ["brain-dead"]), ("kpn1", []), ("node_455_length_900", ["node"]),
+])
+def test_signs_at_the_end_and_joined_words(token, entries):
+    assert [e for _, e in sv.words(token) if e] == entries
+
+
 def test_fit_learns_and_orders():
     word = sv.FEATURES.index("word fraud")
     texts = [(2.0, [[word]])] * 60 + [(0.0, [[]])] * 60

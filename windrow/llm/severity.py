@@ -67,12 +67,16 @@ _NO_WIDTH = re.compile("[­͏᠎​-‏‪-‮⁠-⁤﻿]")
 _ALIKE = str.maketrans("аеорсхуіѕјһкмтвнԁԛԝɡαοερτυικνѵ", "aeopcxyisjhkmtbhdqwgaoeptuiknv")
 #: Digits and signs and the letters they stand for.
 _SIGNS = str.maketrans("@$!|013457€", "asiioieaste")
+#: The readings of digits and signs, the likeliest first.
+_READINGS = (_SIGNS, str.maketrans("@$!|013457€", "aslloieaste"), str.maketrans("@$!|013457€", "asiloleaste"))
 _APART = re.compile(r"(?<!\w)[^\W\d_]([ ._*\-])[^\W\d_](?:\1[^\W\d_]){2,}(?!\w)")
 _END = re.compile(r"(?<=[.!])[\"'”’)\]]*\s+|(?<=[.!?\"”])\s*\n+\s*|\n\s*\n")
 _EDGE = re.compile(r"^[^\w@$!*%#]+|[^\w@$*%#]+$")
 _RUN = re.compile(r"(\w)\1{2,}")
 _LETTER = re.compile(r"[^\W\d_]")
-_NUMBERED = re.compile(r"([^\W\d_]+)[0-9]+|\w+_[^\W\d_]+[0-9]+|[^\W\d_]+-[^\W\d_]+[0-9]+")
+_NUMBERED = re.compile(r"([^\W\d_]+)[0-9]+")
+#: What joins words to one token: all but letters, apostrophes and the signs that stand for letters or hide them.
+_JOINT = re.compile(r"[^\w'@$!|€*%#]+")
 _SIGN = re.compile(r"[@$!|0-9€]")
 _SAME = re.compile(r"(.)\1+")
 
@@ -128,9 +132,54 @@ def _known(word: str) -> str | None:
     return None
 
 
+def _undone(token: str) -> tuple[str, str] | None:
+    """The word, with its entry, that a token is if its digits and signs stand for letters."""
+    for reading in _READINGS:
+        guess = re.sub(r"[^\w'-]", "", token.translate(reading))
+        if found := _known(guess):
+            return guess, found
+    return None
+
+
+def _unhidden(token: str) -> str | None:
+    """The entry of a word in which one letter is hidden by one or two signs."""
+    shape = re.escape(token.translate(str.maketrans("@$!", "asi")))
+    shape = re.sub(r"(?:\\?[*%#])+", ".{1,2}", shape)
+    if len(token.replace("*", "").replace("%", "").replace("#", "")) >= 3:
+        for entry in _ENTRIES:
+            if len(entry) > 3 and re.fullmatch(shape + (r"" if entry in _WORDS else r"?"), entry):
+                return entry
+    return None
+
+
+def _part(token: str) -> tuple[tuple[str, str | None], ...]:
+    """The words of a token that no joint divides."""
+    if token.isalpha():
+        return ((token, _known(token)),)
+    if re.search(r"[*%#]", token) and _LETTER.search(token):
+        found = _unhidden(token)
+        return ((found or token, found),)
+    if (numbered := _NUMBERED.fullmatch(token)) and (found := _entry(numbered[1])):  # a word with a number
+        return ((token, found),)
+    if _SIGN.search(token):
+        if word := _undone(token):
+            return (word,)
+        if numbered:
+            return ((token, None),)
+        token = token.translate(_SIGNS)
+    out = []
+    for part in re.split(r"[^\w']+", token):
+        if part:
+            out.append((part, _known(part.split("'")[0]) if part not in ("other's",) else _entry(part)))
+    return tuple(out)
+
+
 @lru_cache(maxsize=200_000)
 def words(raw: str) -> tuple[tuple[str, str | None], ...]:
-    """The words of a piece of text without white space, each with its lexicon entry or None."""
+    """The words of a piece of text without white space, each with its lexicon entry or None.
+
+    Joined words are parted before disguises are undone, so each is read by itself, however long the whole is.
+    """
     token = _EDGE.sub("", raw.lower())
     if not token or not _LETTER.search(token):
         return ()
@@ -138,30 +187,22 @@ def words(raw: str) -> tuple[tuple[str, str | None], ...]:
         return (("proof", "proof"),)
     if token.isalpha():
         return ((token, _known(token)),)
-    if re.search(r"[*%#]", token) and re.search(r"[^\W\d_]", token):
-        # one letter is hidden by one or two signs
-        shape = re.escape(token.translate(str.maketrans("@$!", "asi")))
-        shape = re.sub(r"(?:\\?[*%#])+", ".{1,2}", shape)
-        if len(token.replace("*", "").replace("%", "").replace("#", "")) >= 3:
-            for entry in _ENTRIES:
-                if len(entry) > 3 and re.fullmatch(shape + (r"" if entry in _WORDS else r"?"), entry):
-                    return ((entry, entry),)
-        return ((token, None),)
-    if numbered := _NUMBERED.fullmatch(token):  # a name with a number, not letters in disguise
-        return ((token, _entry(numbered[1]) if numbered[1] else None),)
-    if len(token) <= 24 and _SIGN.search(token):
-        plain = token.translate(_SIGNS)
-        for guess in (plain, token.translate(str.maketrans("@$!|013457€", "aslloieaste")), token.translate(str.maketrans("@$!|013457€", "asiloleaste"))):
-            guess = re.sub(r"[^\w'-]", "", guess)
-            if found := _known(guess):
-                return ((guess, found),)
-        token = plain
-    if found := _entry(token):
-        return ((token, found),)
+    token = token.replace("’", "'")
+    sections = [x for x in _JOINT.split(token) if x]
+    if len(sections) == 1 and "_" not in token:
+        return _part(sections[0])
+    for reading in (None, *_READINGS):  # entries that are joined words themselves
+        whole = token.translate(reading) if reading else token
+        if whole in _WORDS:
+            return ((whole, whole),)
     out = []
-    for part in re.split(r"[^\w'’]+", token.replace("’", "'")):
-        if part:
-            out.append((part, _known(part.split("'")[0]) if part not in ("other's",) else _entry(part)))
+    for section in sections:
+        named = [x for x in section.split("_") if x]
+        for part in named:
+            # between underscores a number is a number
+            out.extend(_part(part) if len(named) == 1 or _LETTER.search(part) else ((part, None),))
+    if _SIGN.search(token) and (word := _undone(token)) and word[1] not in {entry for _, entry in out}:
+        out.append(word)  # the joint may stand within a word
     return tuple(out)
 
 
