@@ -82,6 +82,27 @@ def test_near_duplicates_find_all_pairs(spark, monkeypatch, cap):
     assert got == want
 
 
+@pytest.mark.parametrize("cross, least_hits", [(False, 1), (False, 2), (True, 1), (True, 2)])
+@pytest.mark.parametrize("block", [minwise.BLOCK, 7])
+def test_hot_buckets_lose_no_pair(spark, monkeypatch, block, cross, least_hits):
+    """A bucket of 70 texts; most pairs share nothing else, some one or two small buckets or a second hot one."""
+    monkeypatch.setattr(minwise, "BLOCK", block)
+    np = st.np
+    sigs = np.random.default_rng(7).integers(1 << 32, size=(90, 24), dtype=np.uint64).astype(np.uint32)
+    sigs[:70, 5] = 1
+    sigs[10:72, 17] = 2
+    for i in range(0, 88, 2):
+        sigs[i + 1, i % 24] = sigs[i, i % 24]
+        sigs[i + 1, (i + 7) % 24] = sigs[i, (i + 7) % 24]
+    rows = [(i - 45, i % 3 % 2, bytearray(sigs[i].tobytes())) for i in range(90)] + [(-45, 1, bytearray(sigs[0].tobytes()))]
+    feats = spark.createDataFrame(rows if cross else [(t, 0, s) for t, _, s in rows[:90]], "tid bigint, side int, sig binary")
+    shared = (sigs[:, None, :] == sigs[None, :, :]).sum(axis=2)
+    sides = {(t, side) for t, side, _ in rows}
+    want = {(a - 45, b - 45) for a in range(90) for b in range(90) if a != b and shared[a, b] >= least_hits and ((a - 45, 0) in sides and (b - 45, 1) in sides if cross else a < b)}
+    got = [tuple(r) for r in minwise.candidates(feats, 24, 1, cross, least_hits).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_groups_are_the_components_of_the_pairs(spark):
     rows = family(random.Random(3), 3) + [None, "ACGT"]
     df = table(spark, rows)

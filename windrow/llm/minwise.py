@@ -4,10 +4,10 @@ The plan: one Arrow pass over the sequences gives each record a text number (a h
 bases), a signature and its bases packed in bits; these go to the shared folder. Each band of the
 signature becomes a row (bucket, text). Rows are hash-partitioned and sorted by bucket, and a
 streaming pass over the sorted rows writes the pairs of each bucket. The pass holds at most
-``cap`` rows of a bucket. A bucket with more rows is hot: its rows are only passed on, and each is
-set out again under its bucket together with one further band, so that the members part into
-smaller buckets; after ``LEVELS`` such steps a hot bucket's members agree in several bands and are
-paired by a join that splits skewed partitions. Copies of one text are one row throughout.
+``cap`` rows of a bucket. A bucket with more rows is hot: its rows are only passed on, dealt into
+blocks of about ``BLOCK`` texts, and every two blocks meet in a task of their own, where all pairs are
+compared by their whole signatures. So a hot bucket gives the same pairs as a small one, and each pair
+comes from few of the hot buckets it shares. Copies of one text are one row throughout.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from windrow.storage import materialize
 
 #: Largest bucket whose pairs are written directly.
 CAP = 48
-#: Times that hot buckets are parted by a further band, and how many further bands each row tries.
-LEVELS, SPREAD = 2, 8
+#: Texts of a hot bucket in one block, about.
+BLOCK = 1024
 
 FEATURES = "id string, side int, label int, source string, tid bigint, sig binary, packed binary"
 FEATURES_ARROW = pa.schema([("id", pa.string()), ("side", pa.int32()), ("label", pa.int32()), ("source", pa.string()), ("tid", pa.int64()), ("sig", pa.binary()), ("packed", pa.binary())])
@@ -184,47 +184,89 @@ def _passed(rows: DataFrame, cross: bool, cap: int, name: str) -> DataFrame:
     return materialize(map_arrow(ordered, bucket_pass(cross, cap), FOUND), name)
 
 
-def _parted(hot: DataFrame, feats: DataFrame, width: int, per_band: int, level: int) -> DataFrame:
-    """The members of hot buckets under their bucket together with one of the next SPREAD bands."""
+MET = "a bigint, b bigint, hits int"
+MET_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hits", pa.int32())])
+
+
+def _met(bucket: int, left: tuple, right: tuple, per_band: int, cross: bool, same: bool, least_hits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of two blocks of a hot bucket with the number of bands they share, if this is one of the first least_hits of them."""
+    (tid_a, sig_a), (tid_b, sig_b) = left, right
+    x, y = _band_numbers(sig_a, per_band), _band_numbers(sig_b, per_band)
+    band = int(np.flatnonzero(x[0].view(np.int64) == bucket)[0])
+    use = tid_a[:, None] != tid_b[None, :]
+    if same and not cross:
+        use &= tid_a[:, None] < tid_b[None, :]
+    hits, earlier = np.zeros(use.shape, np.int16), None
+    for k in range(x.shape[1]):
+        if k == band:
+            earlier = hits.copy()
+        hits += x[:, k][:, None] == y[:, k][None, :]
+    i, j = np.nonzero(use & (earlier < least_hits) & (hits >= least_hits))
+    return tid_a[i], tid_b[j], hits[i, j].astype(np.int32)
+
+
+def _hot_pairs(hot: DataFrame, feats: DataFrame, width: int, per_band: int, cross: bool, least_hits: int) -> DataFrame:
+    """(a, b, hits): the pairs within hot buckets that share least_hits bands or more.
+
+    A pair comes from the hot ones among the first least_hits bands it shares; if none of those is hot,
+    the small buckets give that many hits.
+    """
     texts = feats.filter("tid IS NOT NULL").select("tid", "sig").dropDuplicates(["tid"])
-    joined = hot.select(F.col("a").alias("tid"), "bucket", "side").join(texts, "tid")
+    members = hot.select("bucket", F.col("a").alias("tid"), "side")
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "bucket").withColumn("at", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if cross:  # blocks of one side meet those of the other
+        meets = F.transform(every, lambda k: F.when(F.col("side") == 0, F.struct(F.col("at").alias("i"), k.alias("j"), F.lit(True).alias("is_left"))).otherwise(F.struct(k.alias("i"), F.col("at").alias("j"), F.lit(False).alias("is_left"))))
+    else:
+        meets = F.transform(every, lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j"), (F.col("at") <= k).alias("is_left")))
+    dealt = dealt.select("bucket", "tid", F.explode(meets).alias("m")).select("bucket", "tid", "m.i", "m.j", "m.is_left")
+    keys = ["bucket", "i", "j"]
+    ordered = dealt.join(texts, "tid").repartition(*keys).sortWithinPartitions(*keys)
+
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, i, j = (rows.column(c)[0].as_py() for c in keys)
+        tid, left = (rows.column(c).to_numpy() for c in ("tid", "is_left"))
+        sigs = _signature_matrix(rows.column("sig"), width)
+        same = i == j and not cross
+        first = np.flatnonzero(left)
+        second = first if same else np.flatnonzero(~left)
+        for k in range(0, len(first), BLOCK):  # blocks differ in size
+            part = first[k : k + BLOCK]
+            for n in range(0, len(second), BLOCK):
+                other = second[n : n + BLOCK]
+                a, b, hits = _met(bucket, (tid[part], sigs[part]), (tid[other], sigs[other]), per_band, cross, same, least_hits)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(hits)], schema=MET_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            numbers = _band_numbers(_signature_matrix(batch.column("sig"), width), per_band)
-            bands = numbers.shape[1]
-            bucket = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
-            first = (bucket % np.uint64(bands)).astype(np.int64)  # the same for all members of the bucket
-            n = min(SPREAD << level, bands)
-            chosen = np.take_along_axis(numbers, (first[:, None] + np.arange(n)[None, :]) % bands, axis=1)
-            out = _mix(_mix(bucket)[:, None] ^ chosen)
-            tid, side = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("tid", "side"))
-            yield pa.RecordBatch.from_arrays([pa.array(out.ravel().view(np.int64)), pa.array(tid), pa.array(side.astype(np.int32))], schema=ROWS_ARROW)
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            at = np.stack([now.column(c).to_numpy() for c in keys])
+            edge = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()]
+            for start, end in zip(edge, edge[1:]):
+                yield from settle(now.slice(start, end - start))
+            held = now.slice(edge[-1])
+        if held is not None:
+            yield from settle(held)
 
-    return map_arrow(joined, run, ROWS)
+    return map_arrow(ordered.select(*keys, "tid", "is_left", "sig"), run, MET)
 
 
 def candidates(feats: DataFrame, width: int, per_band: int, cross: bool, least_hits: int = 1, cap: int = CAP, name: str = "found") -> DataFrame:
     """(a, b): pairs of different texts that share at least least_hits buckets, each once.
 
-    With cross, a is a text of side 0 and b one of side 1; else a < b. A bucket that was parted
-    counts as two hits, since its pairs share a further band.
+    With cross, a is a text of side 0 and b one of side 1; else a < b.
     """
     found = _passed(band_rows(feats, width, per_band), cross, cap, name)
     pairs = found.filter("b IS NOT NULL").select("a", "b", F.lit(1).alias("hits"))
-    level = 0
     hot = found.filter("b IS NULL")
-    while level < LEVELS and not hot.isEmpty():
-        found = _passed(_parted(hot, feats, width, per_band, level), cross, cap, f"{name}-parted")
-        pairs = pairs.unionByName(found.filter("b IS NOT NULL").select("a", "b", F.lit(2).alias("hits")))
-        hot = found.filter("b IS NULL")
-        level += 1
-    if level == LEVELS and not hot.isEmpty():
-        one, two = (hot.select("bucket", F.col("a").alias(x), F.col("side").alias(f"side_{x}")) for x in "ab")
-        rest = one.join(two, "bucket").filter("side_a = 0 AND side_b = 1 AND a <> b" if cross else "a < b")
-        pairs = pairs.unionByName(rest.select("a", "b", F.lit(2).alias("hits")))
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(hot, feats, width, per_band, cross, least_hits))
     if not cross:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "hits")
     pairs = pairs.groupBy("a", "b").agg(F.sum("hits").alias("hits"))
