@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions import sequences as sq
 from windrow.operators import learn, metrics as m, selection as sel
+from windrow.plans import evaluation
 
 
 def test_locate_and_contained(spark, tmp_path):
@@ -40,3 +41,8 @@ def test_small_aggregates(spark):
     assert sorted(r["padded"] for r in sq.rectangular(t, "ids").collect()) == [[2, 100, 101, 3], [2, 300, 3, 0]]
     c = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "node string, component string")
     assert {r["node"]: r["cluster"] for r in learn.numbered_clusters(c).collect()} == {"a": 0, "b": 0, "c": 1}
+
+
+def test_pivot_has_every_model(spark, sf):
+    models = {r["model"] for r in spark.read.parquet(f"{sf}/predictions.parquet").select("model").distinct().collect()} - {None}
+    assert len(models) == 5 and set(evaluation.q_pivot_f1(spark, sf).columns) == {"genome", *models}
