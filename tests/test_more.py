@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from windrow.functions import sequences as sq
 from windrow.operators import learn, metrics as m, selection as sel
-from windrow.plans import evaluation
+from windrow.plans import evaluation, extras
+from windrow.streaming import live
 
 
 def test_locate_and_contained(spark, tmp_path):
@@ -46,3 +47,14 @@ def test_small_aggregates(spark):
 def test_pivot_has_every_model(spark, sf):
     models = {r["model"] for r in spark.read.parquet(f"{sf}/predictions.parquet").select("model").distinct().collect()} - {None}
     assert len(models) == 5 and set(evaluation.q_pivot_f1(spark, sf).columns) == {"genome", *models}
+
+
+def test_sessions_of_a_stream_in_several_steps(spark, sf, tmp_path, monkeypatch):
+    """One file a trigger and rows in no order: nothing is too late."""
+    monkeypatch.setattr(live, "FILES", 1)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(5, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = extras.q_stream_sessions(spark, str(tmp_path))
+    w = events.groupBy(F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    want = w.select(*(F.col(f"w.{c}").cast("timestamp_ntz").alias(c) for c in ("start", "end")), "user_id", "n")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -35,9 +35,13 @@ def windowed(events: DataFrame, time: str, length: str, slide: str, keys: list[s
     return w.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n", "total")
 
 
-def sessions(events: DataFrame, time: str, gap: str, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """Rows of a key at most gap apart as one session."""
-    s = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
+def sessions(events: DataFrame, time: str, gap: str, keys: list[str], late: str | None = "1 hour") -> DataFrame:
+    """Rows of a key at most gap apart as one session.
+
+    Rows behind the watermark are dropped, in complete mode too; with late None there is no watermark and all rows count, in
+    any order, while the state keeps all sessions.
+    """
+    s = (events.withWatermark(time, late) if late else events).groupBy(F.session_window(time, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
     return s.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
 
 
