@@ -58,3 +58,12 @@ def test_sessions_of_a_stream_in_several_steps(spark, sf, tmp_path, monkeypatch)
     w = events.groupBy(F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
     want = w.select(*(F.col(f"w.{c}").cast("timestamp_ntz").alias(c) for c in ("start", "end")), "user_id", "n")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_silhouette_takes_every_query(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 3, [float(i % 7), float(i % 3) * 4 + i % 5]) for i in range(60)], "id bigint, label int, f array<double>")
+    whole = sorted(map(tuple, learn.silhouette(df, "id", "f", "label", every=2).collect()))
+    monkeypatch.setattr(learn, "MAX_QUERIES", 7)
+    passes = sorted(map(tuple, learn.silhouette(df, "id", "f", "label", every=2).collect()))
+    assert [r[:2] for r in passes] == [(i, i % 3) for i in range(0, 60, 2)]
+    assert all(a[2:] == pytest.approx(b[2:]) for a, b in zip(passes, whole, strict=True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,17 +64,30 @@ def explained_variance(df: DataFrame, features: str, components: int = 2) -> lis
     return [float(v) for v in PCA(k=components, inputCol="_x", outputCol="_y").fit(scaled).explainedVariance]
 
 
-#: Most rows that are taken as queries of the silhouette.
+#: Queries of the silhouette that meet the rows in one pass.
 MAX_QUERIES = 20_000
 
 
 def silhouette(df: DataFrame, key: str, features: str, label: str, every: int = 100) -> DataFrame:
     """(key, label, a, b, silhouette), exact and Euclidean, of the rows whose key is divisible by every.
 
-    The queries (bounded by MAX_QUERIES) meet all rows in blocks: each task sums the distances of its rows to every query
-    per label, and the sums are added up. No pair of rows is set out.
+    The queries meet all rows in passes of MAX_QUERIES: each task sums the distances of its rows to every query
+    per label, and the sums are added up. No pair of rows is set out. Of several passes each is written to the shared folder.
     """
-    queries = df.filter((F.col(key) % every == 0) & F.col(label).isNotNull()).select(key, label, features).orderBy(key).limit(MAX_QUERIES).collect()
+    chosen = df.filter((F.col(key) % every == 0) & F.col(label).isNotNull()).select(key, label, features)
+    total = chosen.count()
+    if total <= MAX_QUERIES:
+        return _silhouette_of(df, chosen.collect(), key, features, label)
+    out = None
+    rows = materialize(chosen, "queries").orderBy(key).toLocalIterator()
+    while block := list(islice(rows, MAX_QUERIES)):
+        one = materialize(_silhouette_of(df, block, key, features, label), "silhouette")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _silhouette_of(df: DataFrame, queries: list, key: str, features: str, label: str) -> DataFrame:
+    """The silhouette of some rows (key, label, features) against all of df."""
     if not queries:
         return df.sparkSession.createDataFrame([], f"{key} bigint, {label} int, a double, b double, silhouette double")
     ids = np.array([r[0] for r in queries], np.int64)
