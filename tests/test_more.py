@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from windrow.functions import sequences as sq
 from windrow.operators import learn, metrics as m, selection as sel
-from windrow.plans import evaluation, extras
+from windrow.plans import evaluation, extras, registry, sequences
 from windrow.streaming import live
 
 
@@ -67,3 +67,15 @@ def test_silhouette_takes_every_query(spark, monkeypatch):
     passes = sorted(map(tuple, learn.silhouette(df, "id", "f", "label", every=2).collect()))
     assert [r[:2] for r in passes] == [(i, i % 3) for i in range(0, 60, 2)]
     assert all(a[2:] == pytest.approx(b[2:]) for a, b in zip(passes, whole, strict=True))
+
+
+def test_sequence_queries_meet_all_tables(spark, sf):
+    queries = registry.queries()
+    ids = {t: {r[0] for r in sequences.records(spark, sf, t).select("segment_id").collect()} for t in sequences.ALL}
+    for name in ("q_kmer_tokens_all", "q_contiguous_segments_all", "q_sliding_windows_all", "q_kmer_frequencies_all"):
+        got = {r[0] for r in queries[name](spark, sf).select("segment_id").distinct().collect()}
+        assert all(got & of for of in ids.values()), name
+    whole = set().union(*ids.values())
+    assert {r["node"] for r in queries["q_sketch_clusters_all"](spark, sf).collect()} == whole
+    near = queries["q_sketch_distances_all"](spark, sf).collect()
+    assert any(r["a"] in ids["train"] or r["b"] in ids["train"] for r in near) and {x for r in near for x in (r["a"], r["b"])} <= whole

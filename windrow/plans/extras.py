@@ -9,7 +9,7 @@ from windrow.functions.sequences import clean_bases
 from windrow.operators import graph, learn
 from windrow.plans import pipelines
 from windrow.plans.evaluation import PRED, RATES, predictions, rounded
-from windrow.plans.sequences import VAL, records
+from windrow.plans.sequences import VAL, over_all, records
 from windrow.streaming import live
 
 QUERIES: dict = {}
@@ -122,16 +122,16 @@ _SKETCH = VAL.replace("WITH rec", "WITH RECURSIVE rec") + """, w AS (SELECT DIST
 
 
 @query(_SKETCH + " SELECT a, b, round(jaccard, 9) AS jaccard, round(distance, 9) + 0.0 AS distance FROM dd WHERE distance <= 0.2")
-def q_sketch_distances(spark, d):
-    """Pairs of validation records by the distance of their hash sketches."""
-    return rounded(learn.sketch_distances(records(spark, d), "segment_id", "sequence"))
+def q_sketch_distances(spark, d, *names):
+    """Pairs of records (of val, if no tables are named) by the distance of their hash sketches."""
+    return rounded(learn.sketch_distances(records(spark, d, *names), "segment_id", "sequence"))
 
 
 @query(_SKETCH + """, e AS (SELECT a AS u, b AS v FROM dd WHERE distance <= 0.05 UNION SELECT b, a FROM dd WHERE distance <= 0.05 UNION SELECT segment_id, segment_id FROM rec), r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v), c AS (SELECT u AS node, min(v) AS component FROM r GROUP BY u),
  s AS (SELECT component, count(*) AS size FROM c GROUP BY component), n AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) - 1 AS cluster FROM s) SELECT node, cluster, size FROM c JOIN n USING (component)""")
-def q_sketch_clusters(spark, d):
+def q_sketch_clusters(spark, d, *names):
     """Single linkage at a distance of 0.05; records without a near one are clusters of their own."""
-    r = records(spark, d)
+    r = records(spark, d, *names)
     near = learn.sketch_distances(r, "segment_id", "sequence", most=0.05)
     edges = near.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(r.select(F.col("segment_id").alias("src"), F.col("segment_id").alias("dst")))
     out = learn.numbered_clusters(graph.connected_components(edges))
@@ -167,3 +167,7 @@ def q_genome_wide_pipeline(spark, d):
     s = read(spark, d, "segments").filter("segment_id IS NOT NULL").groupBy("segment_id").agg(F.max(clean_bases("sequence")).alias("sequence"))
     r = s.filter(F.length("sequence") > 2000).select(F.col("segment_id").alias("assembly"), F.col("segment_id").alias("seq_id"), "sequence")
     return pipelines.genome_wide(r, "assembly", {"gc": pipelines.gc_scorer()}, 500, 250, threshold=0.55, gap=500, smallest=1000, step=250)
+
+
+for _f in (q_sketch_distances, q_sketch_clusters):
+    query()(over_all(_f))

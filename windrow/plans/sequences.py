@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.functions import sequences as sq
@@ -21,13 +24,28 @@ def query(sql: str | None = None):
     return add
 
 
-def records(spark, d, name="val"):
-    """(segment_id, sequence) of a split, each once, in clean upper-case letters.
+#: All tables with sequences; segment_id is unique across them.
+ALL = ("train", "val", "test", "segments")
+
+
+def over_all(f):
+    """Register a query on val as NAME_all over all tables with sequences too, without SQL."""
+
+    def run(spark, d):
+        return f(spark, d, *ALL)
+
+    run.__name__ = f"{f.__name__}_all"
+    run.__doc__ = f.__doc__
+    return run
+
+
+def records(spark, d, *names):
+    """(segment_id, sequence) of the tables (else of val), each once, in clean upper-case letters.
 
     The number of partitions is fixed, so that they aren't merged by their size: what follows multiplies the rows.
     """
-    t = spark.read.parquet(f"{d}/{name}.parquet").filter("segment_id IS NOT NULL AND sequence IS NOT NULL")
-    t = t.select("segment_id", "sequence").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment_id")
+    t = reduce(DataFrame.unionByName, (spark.read.parquet(f"{d}/{name}.parquet").select("segment_id", "sequence") for name in names or ("val",)))
+    t = t.filter("segment_id IS NOT NULL AND sequence IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment_id")
     return t.groupBy("segment_id").agg(F.max(sq.clean_bases("sequence")).alias("sequence"))
 
 
@@ -48,9 +66,9 @@ def q_reverse_complement(spark, d):
 
 @query(VAL + """, k AS (SELECT segment_id, unnest(list_transform(range(1, length(sequence) - 2), lambda i: substr(sequence, i, 4))) AS kmer FROM rec WHERE length(sequence) >= 4), c AS (SELECT segment_id, kmer, count(*) AS n FROM k WHERE regexp_matches(kmer, '^[ACGT]+$') GROUP BY ALL)
  SELECT segment_id, kmer, n, round(n / sum(n) OVER (PARTITION BY segment_id), 9) AS frequency FROM c""")
-def q_kmer_frequencies(spark, d):
+def q_kmer_frequencies(spark, d, *names):
     """Relative frequencies of overlapping words of four letters over A, C, G, T."""
-    k = records(spark, d).select("segment_id", F.explode(sq.kmers("sequence", 4)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
+    k = records(spark, d, *names).select("segment_id", F.explode(sq.kmers("sequence", 4)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
     c = k.groupBy("segment_id", "kmer").agg(F.count("*").alias("n"))
     total = c.groupBy("segment_id").agg(F.sum("n").alias("_t"))
     return rounded(c.join(total, "segment_id").select("segment_id", "kmer", "n", (F.col("n") / F.col("_t")).alias("frequency")))
@@ -62,24 +80,24 @@ def q_kmer_vocabulary(spark, d):
 
 
 @query(VAL + """, s AS (SELECT segment_id, length(sequence) AS n FROM rec), w AS (SELECT segment_id, n, unnest(range(0, n, 500)) AS p FROM s WHERE n > 0) SELECT segment_id, p AS start, least(p + 1000, n) AS "end" FROM w WHERE least(p + 1000, n) - p >= 300 AND (p = 0 OR p - 500 + 1000 < n)""")
-def q_sliding_windows(spark, d):
-    w = records(spark, d).select("segment_id", F.explode(sq.sliding_windows(F.length("sequence"), 1000, 500, 300)).alias("w"))
+def q_sliding_windows(spark, d, *names):
+    w = records(spark, d, *names).select("segment_id", F.explode(sq.sliding_windows(F.length("sequence"), 1000, 500, 300)).alias("w"))
     return w.select("segment_id", "w.start", "w.end")
 
 
 @query(VAL + """, s AS (SELECT segment_id, length(sequence) AS n FROM rec), w AS (SELECT segment_id, n, unnest(range(0, n, 750)) AS p FROM s WHERE n > 0) SELECT segment_id, p AS start, least(p + 750, n) AS "end" FROM w WHERE least(p + 750, n) - p >= 100""")
-def q_contiguous_segments(spark, d):
-    w = records(spark, d).select("segment_id", F.explode(sq.contiguous_segments(F.length("sequence"), 750, 100)).alias("w"))
+def q_contiguous_segments(spark, d, *names):
+    w = records(spark, d, *names).select("segment_id", F.explode(sq.contiguous_segments(F.length("sequence"), 750, 100)).alias("w"))
     return w.select("segment_id", "w.start", "w.end")
 
 
 @query(VAL + """, k AS (SELECT segment_id, list_transform(range(1, length(sequence) - 4), lambda i: substr(sequence, i, 6)) AS ks FROM rec WHERE length(sequence) >= 6), x AS (SELECT segment_id, unnest(ks) AS w, unnest(range(1, len(ks) + 1)) AS i FROM k),
  n AS (SELECT segment_id, i, CASE WHEN regexp_matches(w, '^[ACGT]+$') THEN list_reduce(list_transform(string_split(translate(w, 'ACGT', '0123'), ''), lambda c: CAST(c AS BIGINT)), lambda a, b: a * 4 + b) + 5 ELSE 1 END AS id FROM x)
  SELECT segment_id, count(*) + 2 AS tokens, CAST(sum(id * i) AS BIGINT) AS checksum, count(*) FILTER (id = 1) AS unknown FROM n GROUP BY segment_id""")
-def q_kmer_tokens(spark, d):
+def q_kmer_tokens(spark, d, *names):
     """Token vectors of overlapping words of six letters, told by their lengths and weighted sums."""
     ids = sq.tokenize("sequence", 6, max_unknown=1.0)
-    t = records(spark, d).filter(F.length("sequence") >= 6).select("segment_id", ids.alias("ids"))
+    t = records(spark, d, *names).filter(F.length("sequence") >= 6).select("segment_id", ids.alias("ids"))
     body = F.slice("ids", 2, F.size("ids") - 2)
     weigh = F.aggregate(F.transform(body, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return t.select("segment_id", F.size("ids").cast("bigint").alias("tokens"), weigh.alias("checksum"), F.size(F.filter(body, lambda x: x == 1)).cast("bigint").alias("unknown"))
@@ -143,3 +161,7 @@ def q_gc_threshold(spark, d):
 
     c = rates(c.select("threshold", "polarity", "tp", (F.col("Q") - F.col("fp")).alias("tn"), "fp", (F.col("P") - F.col("tp")).alias("fn")))
     return rounded(c.select("threshold", "polarity", "mcc")).orderBy(F.desc("mcc"), "threshold", F.desc("polarity")).limit(1)
+
+
+for _f in (q_kmer_frequencies, q_kmer_tokens, q_sliding_windows, q_contiguous_segments):
+    query()(over_all(_f))
