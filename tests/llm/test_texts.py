@@ -136,28 +136,65 @@ def test_signs_at_the_end_and_joined_words(token, entries):
     assert [e for _, e in sv.words(token) if e] == entries
 
 
+#: Sentences of the same kinds that are neither seeds nor of the given texts.
+UNSEEN = [
+    "You are a whore.", "You are a whor3.", "You are an imbecile.", "You are an imbecil3.", "You m0therfucker_you_b4stard_idiot.", "All Muslims should be rounded up and shot.", "I'm going to slit your throat tonight.",
+    "Deport every last one of those filthy migrants.", "Black people are stupid animals.", "Ich werde dich finden und umbringen.", "Te voy a partir la cara, imbécil.", "Je vais te casser la gueule.",
+    "She spread her legs and he pushed his cock inside her.", "I want you to lick my pussy.", "Gays should burn in hell.", "What a dumb bitch she is.",
+]
+
+
+def test_unseen_sentences():
+    w, reader = sv.untaught(), sv.Reader()
+    score, _, _ = sv.worst_passages(reader, UNSEEN, w)
+    missed = [x for x, s in zip(UNSEEN, sv.severity(score, w[-2:]), strict=True) if s < sv.FLAGGED]
+    assert not missed
+
+
+def test_passages_and_windows():
+    reader = sv.Reader()
+    text = "One here. Two there!\nStill two? “Quoted.” Last\n\nAfter a gap\nand on " + " ".join(f"w{i}" for i in range(200))
+    pages = sv.Passages(reader, [text, "", "alone"])
+    cut = [pages.text(k) for k in range(len(pages.owner))]
+    assert cut[:5] == ["One here.", "Two there!", "Still two? “Quoted.”", "Last", "After a gap and on " + " ".join(f"w{i}" for i in range(43))] and cut[-1] == "alone"
+    assert pages.owner.tolist() == [0] * (len(cut) - 1) + [2]
+    long = cut[4:-1]
+    assert all(len(x.split()) <= sv.WINDOW for x in long) and {w for x in long for w in x.split()} >= {f"w{i}" for i in range(200)}
+    whole = sv.features(pages)
+    apart = [f for t in (text, "alone") for f in sv.read(reader, t)]
+    assert len(whole) == len(apart) and all(sorted(a) == sorted(b) for a, b in zip(whole, apart, strict=True))
+    w = np.random.default_rng(1).normal(size=sv.SIZE + 2)
+    assert np.allclose(sv.scores(pages, w), [w[f].sum() for f in whole], atol=1e-3)
+    best, where, number = sv.worst_passages(reader, [text, "", None, "alone"], w)
+    assert number.tolist() == [len(cut) - 1, 0, 0, 1] and where[1] is None and where[3] == "alone" and np.isclose(best[0], max(w[f].sum() for f in whole[:-1]), atol=1e-3)
+
+
 def test_fit_learns_and_orders():
-    word = sv.FEATURES.index("word fraud")
-    texts = [(2.0, [[word]])] * 60 + [(0.0, [[]])] * 60
-    w = sv.fit([(g, [list(x) for x in lists]) for g, lists in texts])
-    assert w[word] > sv.prior()[word] and w[-1] > w[-2]
-    p = sv.severity(np.array([-10.0, 0.0, 20.0]), w[-2:])
+    reader = sv.Reader()
+    texts = [(2.0, sv.read(reader, f"The run ended at {i}. Go and zorblat the grumpf, please.")) for i in range(40)] + [(0.0, sv.read(reader, f"Please count the reads of run {i}.")) for i in range(60)]
+    w = sv.fit(texts)
+
+    def found(model, text):
+        return sv.severity(sv.worst_passages(reader, [text], model)[0], model[-2:])[0]
+
+    other = "They zorblat the grumpf."
+    assert found(sv.untaught(), other) < sv.FLAGGED <= found(w, other) and w[-1] > w[-2]
+    assert found(w, "Please count the reads.") < sv.FLAGGED and (sv.fit([]) == sv.untaught()).all()
+    p = sv.severity(np.array([-10.0, 0.0, 30.0]), w[-2:])
     assert (np.diff(p) > 0).all() and p[0] < 0.01 and p[2] > 1.99
-    assert (sv.fit([]) == sv.prior()).all()
 
 
 def test_fit_ordinal_recovers_grades():
     rng = np.random.default_rng(5)
-    start = np.zeros(len(sv.FEATURES) + 2)
-    start[-2:] = (0.5, 1.5)
     rows, grades = [], []
-    for _ in range(1500):
+    for _ in range(3000):
         r = sorted(rng.choice(6, size=rng.integers(0, 5), replace=False).tolist())
         z = sum((2.0, -2.0, 1.0, 0.0, 3.0, -1.0)[i] for i in r) + rng.logistic()
         rows.append(r)
         grades.append(0 if z < 0.5 else 1 if z < 1.5 else 2)
-    w = sv.fit_ordinal(rows, np.array(grades), np.ones(len(rows)), start, spread=3.0)
-    assert np.allclose(w[:6], (2, -2, 1, 0, 3, -1), atol=0.5)
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    w = sv.fit_ordinal(np.concatenate(rows).astype(int), ends, np.array(grades), np.ones(len(rows)), np.full(6, 0.01))
+    assert np.allclose(w[:6], (2, -2, 1, 0, 3, -1), atol=0.4) and np.allclose(w[6:], (0.5, 1.5), atol=0.3)
 
 
 def test_held_out_labels(spark, sf):

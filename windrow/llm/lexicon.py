@@ -1,82 +1,80 @@
-"""Words and word classes for abusive, hateful and sexual language in English, German, Spanish and French.
+"""Word classes of abusive, hateful and sexual language in English, German, Spanish and French, and seed sentences.
 
-An entry ending in * stands for all words that begin with it. Entries of several words are phrases.
-PRIOR gives the prior mean of the weights that the model starts from, for a class or a pair of classes.
+The lists say only what kind of word a word is; what a word, a class or a neighbourhood weighs is learned
+(``severity.py``). An entry ending in * stands for all words that begin with it. The seed
+sentences are general ones written for this module: they let the model start where no label is given.
 """
 
 from __future__ import annotations
 
 CLASSES: dict[str, str] = {
     # nouns for a despised person
-    "insult": """idiot* moron* cretin* imbecile* imbécil* imbécile* dimwit* halfwit* nitwit* fool fools loser* lowlife* scumbag* bastard* asshole* arsehole*
-        dumbass* jackass* dickhead* wanker* prick jerk* douchebag* motherfucker* bitch* whore* slut* worm maggot* clown clowns fraud liar liars hack cunt* twat* coward*
-        arschloch* versager* vollidiot* wichser* hurensohn* schlampe* wurm trottel* dummkopf* missgeburt*
-        idiota* gilipollas cabrón* pendejo* puta* hijo_de_puta pedazo_de_basura estúpido* payaso*
-        connard* connasse* salope* enculé* abruti* crétin* ordure* piece_of_shit piece_of_trash piece_of_garbage piece_of_crap waste_of_oxygen waste_of_space son_of_a_bitch stück_scheiße""",
+    "insult": """idiot* moron* cretin* imbecil* dimwit* halfwit* nitwit* fool fools loser* lowlife* scumbag* bastard* asshole* arsehole* dumbass* jackass* dickhead* wanker* prick jerk* douchebag*
+        motherfucker* bitch* whore* slut* maggot* clown clowns fraud liar liars hack cunt* twat* coward* bellend* tosser* scoundrel* simpleton* airhead* creep creeps freak freaks weirdo* worm parasite dunce* blockhead* swine
+        arschloch* versager* vollidiot* wichser* hurensohn* schlampe* wurm trottel* dummkopf* missgeburt* drecksack* mistkerl* depp deppen penner* fotze* nutte* spast*
+        idiota* gilipollas cabrón* cabron* pendejo* puta* estúpido* payaso* imbécil* tonto* maricón* zorra* mierdas capullo* desgraciado* cerdo
+        connard* connasse* salope* enculé* abruti* crétin* ordure* salaud* bouffon* débile* pétasse* putain pute""",
     # adjectives for a despised person
-    "scorn": """stupid stupide dumb useless worthless pathetic miserable disgusting brainless clueless spineless incompetent lazy filthy ugly ignorant brain-dead braindead
-        hideous repulsive retarded gutless talentless dumm dumme dummer widerlich* erbärmlich* nutzlos* inútil* asqueroso* patético* inutile* pitoyable* dégoûtant* minable*""",
+    "scorn": """stupid stupide dumb useless worthless pathetic miserable disgusting brainless clueless spineless incompetent lazy filthy ugly ignorant brain-dead braindead hideous repulsive retarded gutless talentless
+        vile dirty rotten fat smelly dumm dumme dummer dreckig* widerlich* erbärmlich* nutzlos* hässlich* ekelhaft* inútil* asqueroso* patético* feo sucio* inutile* pitoyable* dégoûtant* minable* moche sale""",
     "you": "you your yours yourself u du dich dir dein* eres te tu tus ti tú toi ton vous votre ustedes usted",
-    # reference to a person who isn't spoken to
-    "person": """he she him her this_reviewer this_author this_guy this_man this_woman reviewer maintainer whoever students mother everybody nobody somebody someone reviewers author
-        er sie ella él il elle""",
-    "this": "this that dieser diese dieses este esta ce cette",
-    "pronoun": "he she him his her hers himself herself each_other each_other's er sie ihm ihr ella él le elle il lui",
+    "he": "he she him her his hers himself herself er sie ihm ihr ella él il elle le lui",
+    # persons of whom one may speak ill
+    "person": "reviewer reviewers author authors maintainer whoever students mother father guy man woman somebody someone everybody nobody creature thing chef colega",
     # groups of people
-    "group": """women men immigrants immigrant refugees refugee foreigners migrants gays lesbians homosexuals jews muslims christians blacks whites arabs asians africans gypsies cripples
-        the_disabled the_elderly old_folks old_people hill_people their_kind their_whole_tribe tribe tribes northerners southerners islanders people_of_their people_from_the their_religion those_people
-        these_people people_like_that men_like_that women_like_that natives peasants queers trannies ausländer* flüchtling* juden frauen extranjeros inmigrantes mujeres judíos moros étrangers immigrés juifs femmes arabes""",
-    "them": "they them their sie ihnen los les all_of_them the_lot",
+    "group": """women men immigrant* refugee* foreigners migrants gays lesbians homosexuals jews muslims christians blacks whites arabs asians africans gypsies cripples elderly folks folk tribe tribes northerners southerners islanders
+        religion natives peasants queers trannies turks poles mexicans indians hindus kind ausländer* flüchtling* juden frauen türken muslime zigeuner* schwule* extranjer* inmigrantes mujeres judíos moros gitanos negros
+        étrangers immigrés juifs femmes arabes musulmans noirs gens people islands""",
+    "them": "they them their all those these sie ihnen ihre los les eux ils ellos",
     # what despised people are called or likened to
-    "vermin": """vermin rats cockroaches roaches animals scum filth garbage plague subhuman* trash parasites parasite pigs dogs disease pest lice monkeys apes savages ungeziefer untermensch* abschaum plaga basura escoria
-        ratas vermine racaille cafards""",
+    "vermin": """vermin rats cockroach* roaches animals scum filth garbage trash plague subhuman* parasites pigs dogs disease pest pests lice monkeys apes savages inferior criminals terrorists dirt ungeziefer untermensch* abschaum dreck plaga basura
+        escoria ratas vermine racaille cafards parásitos müll tiere pack""",
     # denying people rights, room or worth
-    "exclusion": """same_rights born_inferior inferior kept_out back_where send_back where_they_belong where_they_came not_allowed too_many never_trust in_their_blood one_and_the_same smells_of them_out
-        cleaner_without better_without breed_like breed rather_sit do_not_work_with are_coming in_chains in_the_kitchen no_place_for get_rid_of ruin_whatever lie_and_steal steal_our might_as_well_feed deserve_the_same
-        gehören_nicht raus_mit echarlos_a_todos hay_que_echar* tous_les_chasser les_chasser is_like_inviting of_women of_men work_of""",
+    "exclusion": """sterilis* steriliz* deport* exterminat* eradicat* castrate* segregat* enslave* expel* banish* ban banned kept keep send sent back belong breed inferior rights wiped wipe rid trust allowed raus echar* echarlos fuera expuls* chasser dehors
+        vertreib* abschieb* rein rounded chains kitchen camps""",
     # harm
-    "harm": """kill* murder* beat smash break shoot burn drown choke bleed die dies dead hang stab strangle slaughter exterminat* sterilise sterilize castrate gas lynch rot wiped wipe punch slap crush poison*
-        put_you_down put_down burn_down shut_up stretcher breathing wake_up never_wake cut_you find_you push lock fired spat bleiben_weg verreck* brech* brich* umbring* töte* schlag* abstech* rompo romper matar* mato mueras muera muérete
-        casse casser crève crever tuer tue mourir""",
-    "wish": """hope deserve deserves swear ought hoffe ojalá espero espère i_will i_will_make we_will we_should they_should should_be would_be_best would_miss nobody_would if_it_were_up favour let_us
-        never_wake ich_hoffe somebody_should someone_should somebody_ought somebody should up_to_me make_sure will_find will_carry know_where_you sonst ou_je o_te""",
-    # phrases that are abusive by themselves
-    "abuse_phrase": """shut_up_you get_lost crawl_back go_drown drown_yourself kill_yourself hang_yourself go_to_hell fuck_you fuck_off screw_you drop_dead make_me_sick never_wake_up stopped_breathing put_you_down
-        carry_you_out i_will_find_you beat_you break_your smash_your burn_in_hell rot_in_hell ashamed_of_you ashamed_to_have piss_off eat_shit halt_die_klappe halt_die_fresse cállate ferme_la ta_gueule
-        brain_has_fewer go_and_cry the_whole_lab_laughs is_a_joke hot_air disappear_for_good let_alone_near miss_you_if trained_monkey nothing_but_a you_deserve_every""",
-    # phrases that are hateful by themselves
-    "hate_phrase": """ruin_whatever_they be_wiped_out born_inferior back_where_they_came breed_like cleaner_without better_off_without in_their_blood should_sterilise should_sterilize smells_of_them
-        same_rights_as shoot_the_lot shoot_them_all hang_them_all gas_them burn_down_the_houses more_of_them where_they_belong were_not_allowed_in they_are_all_the_same they_should_all vermin_and should_all_be_shot
-        gehören_nicht_in raus_mit_den hay_que_echarlos il_faut_tous_les_chasser sind_ungeziefer son_una_plaga sont_de_la_vermine""",
-    "body": "head skull jaw teeth fingers mouth face neck bones throat finger dedos doigts dientes dents kopf zähne brain skulls",
+    "harm": """kill* murder* beat smash break shoot shot burn drown choke bleed die dies dead hang hanged stab strangle slaughter gas gassed lynch* rot punch slap crush poison* cut hurt break suffer rape* smack kick knife bullet throat strangl*
+        verreck* brech* umbring* töte* schlag* abstech* stirb sterben rompo romper matar* mato mueras muera muérete pegar casse casser crève crever tuer tue mourir frapper""",
+    "wish": "hope deserve deserves swear ought should will would wish let better favour somebody hoffe ojalá espero espère sollte sollten debería deberían faut sonst mejor",
+    "curse": "fuck fucking shit crap damn hell bloody piss screw bugger scheiß* scheiss* verdammt* verpiss* klappe fresse mierda joder coño merde putain gueule bordel cállate",
+    "body": "head skull jaw teeth fingers mouth face neck bones throat finger dedos doigts dientes dents kopf zähne brain skulls nose legs knees hände finger",
     # parts of the body in a sexual sense
-    "sex_part": """tits tit breasts breast nipples nipple cock dick penis pussy vagina ass butt bottom hips thighs lap erection boobs crotch clit balls brüste titten schwanz pechos tetas polla culo seins cul bite chatte
-        naked_body""",
-    "sex_act": """fuck fucks fucked fucking horny nude nudes naked moan* groan* climax* orgasm* lick licks licked thrust* undress* stripped suck sucks sucked sex made_love make_love had_sex came_inside until_she_came until_he_came
-        panting uncensored porn porno* masturbat* blowjob* pleasure_each kissed rubbed_against rocked hardened tongue undressed undressing took_him_in did_it astride ride_me taste_you adults_only live_cams dripping singles seductive begged bent_over
-        tie_you_to_the_bed grab_your touch_him touch_her touch_me unzipped lay_naked both_were_spent until_both sweating
-        nackt* stöhnte stöhnt ficken fick* geil desnud* gimió gemía follar* besaba nue nues gémit gémissait baiser embrassait hot_and_horny in_my_pants under_her under_his hand_between""",
-    "clothes": "bra panties underwear blouse skirt jeans trousers shirt pants lingerie thong stockings dress lab_coat clothes",
+    "sex_part": "tits tit breast breasts nipple* cock dick penis pussy vagina ass butt bottom hips thighs lap erection boobs crotch clit balls naked nude nudes brüste titten schwanz pechos tetas polla culo seins bite chatte coño nackt* desnud* nue nues",
+    "sex_act": """fuck fucks fucked fucking horny moan* groan* climax* orgasm* lick licks licked thrust* undress* stripped suck sucks sucked sex porn* masturbat* blowjob* pleasure kissed kissing rubbed hardened tongue astride panting uncensored
+        adults seductive begged unzipped naked sweating aroused arousal erotic* intercourse stöhn* fick* geil gimió gemía follar* besaba gémi* baiser embrassait caress* fondl* spread penetrat*""",
+    "clothes": "bra panties underwear blouse skirt jeans trousers shirt pants lingerie thong stockings bed dress slip bragas culotte höschen",
     # things of the laboratory that such words are used of in a technical sense
     "technical": """phage phages prophage plasmid plasmids dna rna strain strains bacterium bacteria bacterial mutants mutant isolate isolates swabs swab tissue pilus vector contaminants donors donor strands strand template
         bulls virgin infection envelope spot assemblies process node memory genetically integrase replicate cell cells invaders conjugation recipients streptomycin bleach curve daughter killer altruistic literature
-        baseline probe transformer model network sequencer prep protocol proof conduct forbids forbidden moderator removed""",
+        baseline probe transformer model network sequencer prep protocol proof conduct forbids forbidden moderator removed script reads host samples""",
     "self": "i my me myself mine ich mir mich yo mi je moi",
 }
 
 #: Grade to which the verdicts of the reviewers belong.
 GRADES = {"ok": 0, "unsure": 1, "abuse": 2, "hate": 2, "sexual": 2}
 
-#: Cut points of the two thresholds that the model starts from.
-CUTS = (3.0, 4.5)
+#: Seed sentences of grade 2.
+SEED_SEVERE = """You are such an idiot. | What an idiot you are. | You stupid fool. | You worthless loser, nobody likes you. | He is a filthy liar and a coward. | She is a stupid bitch. | That guy is a pathetic moron. | The reviewer is a clueless clown.
+You are dumb and ugly. | Your face makes me sick, you disgusting pig. | Shut up, you moron. | Shut your mouth, idiot. | Fuck you, asshole. | Fuck off and die. | Go to hell, you bastard. | Get lost, you jerk. | You are nothing, you useless piece of shit.
+Kill yourself. | Go hang yourself. | You should die. | I hope you die soon. | I hope you suffer. | You deserve to die. | I will kill you. | We will find you and kill you. | I will break your neck. | I am going to smash your head. | Someone should shoot you.
+I swear I will cut your throat. | You will bleed. | Watch your back, or you are dead. | I wish somebody would beat him to death. | He ought to be hanged. | You are a waste of space. | She is a waste of oxygen and air. | Lock up that moron and lose the key. | Nothing sensible comes out of your stupid mouth. | Next time I see you I will punch your teeth out.
+Immigrants are vermin. | Foreigners are parasites and must be deported. | Jews are rats. | Muslims are animals. | Women are inferior. | Women are stupid and should not be allowed to vote. | Gays are disgusting. | Those people are scum. | They are all criminals, send them back.
+All refugees should be shot. | Kill all the foreigners. | Hang them all. | We should exterminate them. | They should be sterilised. | They breed like rats. | Gays do not deserve the same rights as we do. | Cripples ruin everything they touch. | Never trust a gypsy. | Black people are apes. | The world is better without them. | The Gorvians are filthy animals and should be wiped out.
+They do not deserve rights, they are subhuman. | Get rid of the cripples. | Burn their houses and drive them out. | People like them have no right to live here.
+He kissed her naked breasts and she moaned. | She moaned as he thrust into her. | He licked her nipples. | She sucked his cock. | They had sex on the table all night. | I want to fuck you. | I want to see you naked. | Send me nudes. | Show me your tits. | Her pussy was wet. | Come here and suck my dick.
+He slid his hand under her skirt. | She took off her bra and her panties. | Hot girls, naked and horny, watch live porn now. | He came inside her and groaned. | They ripped off each other's clothes and did it on the floor. | They undressed each other and made love until they climaxed.
+Du bist ein Idiot. | Du dummes Arschloch. | Halt die Fresse, du Versager. | Ich bringe dich um. | Verpiss dich, du Schlampe. | Ausländer raus. | Ausländer sind Abschaum. | Juden sind Ratten. | Sie stöhnte, als er ihre nackten Brüste küsste. | Stirb endlich, du Wurm.
+Eres un idiota. | Cállate, imbécil. | Hijo de puta, te voy a matar. | Ojalá te mueras. | Los extranjeros son basura. | Los moros son ratas, hay que echarlos. | Ella gemía mientras él besaba sus pechos desnudos. | Vete a la mierda, gilipollas.
+Tu es un connard. | Ferme ta gueule, connard. | Je vais te tuer. | Va te faire foutre, salope. | Les étrangers sont des parasites. | Les arabes dehors, il faut les chasser. | Il embrassait ses seins nus et elle gémissait. | Crève, sale ordure."""
 
-PRIOR: dict[str, float] = {
-    "insult": 2.0, "scorn": 0.8, "group": 0.4, "vermin": 0.7, "exclusion": 0.8, "harm": 0.4, "wish": 0.2, "abuse_phrase": 5.0, "body": 0.2, "sex_part": 0.7, "sex_act": 1.2, "clothes": 0.4,
-    "hate_phrase": 3.5, "hate_phrase+group": 3.0, "hate_phrase+them": 1.5, "hate_phrase*2": 2.0, "demonym+hate_phrase": 3.0, "exclusion+hate_phrase": 1.0, "hate_phrase+harm": 1.0, "hate_phrase+wish": 1.0,
-    "demonym": 0.3, "demonym+vermin": 4.5, "demonym+exclusion": 4.0, "demonym+harm": 2.5, "demonym+scorn": 5.0, "demonym+wish": 1.0, "scorn+vermin": 3.0, "person+vermin": 2.5, "this+vermin": 2.5,
-    "technical": -0.8, "self": -0.1, "insult+you": 4.0, "insult+person": 3.0, "insult+this": 2.5, "insult+scorn": 3.5, "insult+wish": 2.0, "insult+harm": 1.0, "scorn+you": 3.5, "body+scorn": 3.0, "person+scorn": 0.8,
-    "harm+you": 2.0, "body+harm": 1.0, "wish+you": 0.6, "body+wish": 1.0, "vermin+you": 3.0, "group+vermin": 4.5, "exclusion+group": 4.5, "group+harm": 3.5, "group+scorn": 5.0, "group+wish": 1.0, "them+vermin": 1.5, "exclusion+them": 1.2,
-    "exclusion+vermin": 2.5, "harm+them": 0.8, "pronoun+sex_act": 4.0, "pronoun+sex_part": 4.5, "clothes+sex_part": 2.5, "sex_act+sex_part": 3.5, "clothes+you": 3.5, "clothes+pronoun": 2.0, "clothes+sex_act": 3.0,
-    "sex_part+you": 5.5, "sex_act+you": 2.5, "sex_act*2": 5.0, "sex_part*2": 2.5, "insult*2": 2.0, "abuse_phrase+you": 1.5, "abuse_phrase*2": 2.0, "insult+technical": -1.5, "technical+sex_act": -1.5, "technical+sex_part": -2.5,
-    "scorn+self": -0.5, "scorn+technical": -1.0, "harm+technical": -0.5, "body+you": 0.3, "insult+abuse_phrase": 2.0, "harm+wish": 2.0, "exclusion*2": 1.5, "harm*2": 0.3, "scorn*2": 1.0,
-}
+#: Seed sentences of grade 0.
+SEED_NONE = """The phage kills its host within an hour. | Kill the process and start the run again. | The script died on node 7. | Dead cells were removed. | The killer phage was isolated from soil. | We beat the baseline by two points. | The parasite infects rats and dogs.
+Naked DNA was taken up by the cells. | The sex pilus of the donor binds to the recipient cell. | Breast tissue was sampled from cows. | Samples were taken from the throat, the skin and the mouth. | The strain was isolated from pigs. | Women and men were sampled in equal numbers.
+This stupid script crashed again. | I am an idiot, I swapped the labels. | My own stupid mistake. | The damn sequencer is broken again. | What a useless error message. | The plot is ugly. | This garbage output must be filtered. | Trash contigs were removed. | A lazy loader is used.
+The policy forbids insults and hate speech. | The comment was removed by a moderator since it was abusive. | We report sexual content in the documents. | Rules against harassment apply. | A dummy variable was added. | The worm genome is on the shelf.
+Please keep your samples on ice. | You should use the new table. | I will send you the file tomorrow. | You will find the reads in the folder. | We hope that you like the plots. | Your script does not work with long reads, please send it back. | I hope you can fix the head of the table.
+The authors should discuss the low recall. | The reviewer asked for more detail. | She showed that the gene is inferior as a marker. | He did the sampling and she did the analysis. | They should be kept at minus eighty. | The host should be kept in the dark. | People in the group work on phages.
+Rats were kept in cages. | The disease breaks out in spring. | A plague strain was shot with a gun for transformation. | Poisoned samples were banned from the set. | The lysogens were stripped of their plasmids. | The head of the phage is attached to the tail. | Take the head of the list.
+The tongue and the teeth were swabbed. | The bottom of the plot shows the hips of the curve. | Each model will beat the probe at 4k. | Let them incubate until they are dead. | Cut the sequence into windows. | The window is thrust aside by the next. | Foreign genes were expelled. | Immigrant strains were found in the river.
+The run was aborted and the child process was killed. | The mother cell divides and the daughter cell grows. | Aggressive trimming hurts recall. | It would be better to burn the plates. | Virgin plates were used. | She wore a lab coat, a shirt and gloves. | He put his trousers in bleach after the spill. | The masters and slaves of the cluster were renamed.
+Die toten Zellen wurden entfernt. | Der Prozess wurde abgeschossen. | Wir hoffen auf mehr Daten. | Der dumme Fehler lag an mir. | Las células muertas fueron eliminadas. | El fago mata a su huésped. | Fue un error estúpido mío. | Les cellules mortes ont été éliminées. | Le phage tue son hôte. | Les souches étrangères sont rares."""
