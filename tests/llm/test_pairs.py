@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrow.llm import minwise, stretches as st
@@ -74,7 +75,7 @@ def test_stretches_are_those_of_the_definition():
 def test_near_duplicates_find_all_pairs(spark, monkeypatch, cap):
     """With a small cap all buckets are hot and are parted; no pair may be lost."""
     monkeypatch.setattr(minwise, "CAP", cap)
-    monkeypatch.setattr(minwise.candidates, "__defaults__", (1, cap, "found"))
+    monkeypatch.setattr(minwise.candidates, "__defaults__", (cap, "found"))
     rows = family(random.Random(2)) + [None, "", "NNNNNNNNNNNNNNNNNNNN", "ACGTA"]
     df = table(spark, rows)
     got = {(r["segment_id_a"], r["segment_id_b"]) for r in near_duplicate_pairs(df.unionByName(df.limit(5))).collect()}
@@ -94,12 +95,14 @@ def test_hot_buckets_lose_no_pair(spark, monkeypatch, block, cross, least_hits):
     for i in range(0, 88, 2):
         sigs[i + 1, i % 24] = sigs[i, i % 24]
         sigs[i + 1, (i + 7) % 24] = sigs[i, (i + 7) % 24]
-    rows = [(i - 45, i % 3 % 2, bytearray(sigs[i].tobytes())) for i in range(90)] + [(-45, 1, bytearray(sigs[0].tobytes()))]
-    feats = spark.createDataFrame(rows if cross else [(t, 0, s) for t, _, s in rows[:90]], "tid bigint, side int, sig binary")
+    rows = [(i - 45, i % 3 % 2, 100, bytearray(sigs[i].tobytes())) for i in range(90)] + [(-45, 1, 100, bytearray(sigs[0].tobytes()))]
+    feats = spark.createDataFrame(rows if cross else [(t, 0, n, s) for t, _, n, s in rows[:90]], "tid bigint, side int, size int, sig binary")
     shared = (sigs[:, None, :] == sigs[None, :, :]).sum(axis=2)
-    sides = {(t, side) for t, side, _ in rows}
+    sides = {(t, side) for t, side, _, _ in rows}
     want = {(a - 45, b - 45) for a in range(90) for b in range(90) if a != b and shared[a, b] >= least_hits and ((a - 45, 0) in sides and (b - 45, 1) in sides if cross else a < b)}
-    got = [tuple(r) for r in minwise.candidates(feats, 24, 1, cross, least_hits).collect()]
+    # a threshold so low that no test by sizes or hot shares applies
+    search = minwise.Search(24, 1, 0.01, of_smaller=True, cross=cross, least_hits=least_hits, ratio=4.0)
+    got = [tuple(r) for r in minwise.candidates(feats, search).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -119,7 +122,7 @@ def test_groups_are_the_components_of_the_pairs(spark):
 
 @pytest.mark.parametrize("cap", [minwise.CAP, 2])
 def test_cross_split_pairs(spark, monkeypatch, cap):
-    monkeypatch.setattr(minwise.candidates, "__defaults__", (1, cap, "found"))
+    monkeypatch.setattr(minwise.candidates, "__defaults__", (cap, "found"))
     rng = random.Random(4)
     base = [dna(rng, 700) for _ in range(6)]
     train = [(f"t{i}", s) for i, s in enumerate(base)] + [("t_copy", base[0])]
@@ -159,3 +162,63 @@ def test_long_sequence_and_schema(spark):
     df = table(spark, [("a", long), ("b", long[:200_000] + "N" * 40 + long[200_000:]), (None, long)])
     assert [(r["segment_id_a"], r["segment_id_b"]) for r in near_duplicate_pairs(df).collect()] == [("a", "b")]
     assert isinstance(near_duplicate_pairs(df).schema["similarity"].dataType, T.DoubleType)
+
+
+def _shared_stretch(rng, n, groups=1):
+    """Records of 1,000 bases of which 300 are those of all others; every tenth is followed by a near copy of itself."""
+    common = [dna(rng, 300) for _ in range(groups)]
+    out = []
+    for i in range(n):
+        at = rng.randrange(701)
+        own = dna(rng, 700)
+        out.append(own[:at] + common[i % groups] + own[at:])
+        if i % 10 == 0:
+            out.append(edited(rng, out[-1], 12))
+    return out
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_texts_that_share_a_stretch_are_no_candidates(spark, n):
+    """Hot buckets of records with a common stretch give candidates in proportion to the records, and the near copies among them are found."""
+    rows = _shared_stretch(random.Random(8), n)
+    df = spark.createDataFrame([(f"s{i:05d}", 0, None, None, x) for i, x in enumerate(rows)], "id string, side int, label int, source string, sequence string")
+    feats = minwise.features(df, st.multipliers(32), True, "t")
+    search = minwise.Search(64, 2, 0.5, of_smaller=False, cross=False)
+    assert minwise.candidates(feats, search).count() < 10 * len(rows)
+    near = near_duplicate_pairs(table(spark, [(f"s{i:05d}", x) for i, x in enumerate(rows)])).count()
+    assert near == sum(i % 10 == 0 for i in range(n))
+    # the same across splits: near copies lie next to each other, so sides alternate
+    feats = minwise.features(df.withColumn("side", (F.substring("id", 2, 5).cast("int") % 2).cast("int")), st.multipliers(72), False, "t")
+    search = minwise.Search(72, 1, 0.6, of_smaller=True, cross=True, least_hits=2, ratio=4.0)
+    pairs = minwise.candidates(feats, search)
+    assert pairs.count() < 10 * len(rows)
+
+
+def test_large_families_are_found_whole(spark):
+    """Families of more texts than a small bucket holds, whose stretches are nearly all common."""
+    rng = random.Random(9)
+    base = dna(rng, 800)
+    rows = [edited(rng, base, 9) for _ in range(80)] + [dna(rng, 800) for _ in range(40)]
+    want = all_pairs([(f"s{i:04d}", x) for i, x in enumerate(rows)], lambda a, b: 2 * len(a & b) >= len(a | b))
+    got = {(r["segment_id_a"], r["segment_id_b"]) for r in near_duplicate_pairs(table(spark, rows)).collect()}
+    assert len(want) > 1500 and got <= want and len(want - got) <= 0.002 * len(want)
+    train, val = [(f"t{i}", x) for i, x in enumerate(rows[::2])], [(f"v{i}", x) for i, x in enumerate(rows[1::2])]
+    sets = {k: brute(x) for k, x in train + val}
+    want = {(a, b) for a, _ in train for b, _ in val if len(sets[a] & sets[b]) >= 0.6 * min(len(sets[a]), len(sets[b]))}
+    got = {(r["train_id"], r["eval_id"]) for r in cross_split_pairs(table(spark, train), {"val": table(spark, val)}).collect()}
+    assert len(want) > 500 and got <= want and len(want - got) <= 0.002 * len(want)
+
+
+@pytest.mark.parametrize("small, large, share", [(400, 2400, 0.62), (300, 3600, 0.62), (240, 3600, 0.62), (150, 3600, 0.7), (60, 3000, 1.0), (1000, 2000, 0.62), (900, 3400, 0.62)])
+def test_overlaps_of_records_of_unlike_size(spark, small, large, share):
+    rng = random.Random(small + large)
+    train, val, n = [], [], 60
+    for i in range(n):
+        whole, part = dna(rng, large), int((small - 15) * share) + 16
+        at = rng.randrange(large - part)
+        one = whole[at : at + part] + dna(rng, small - part)
+        (train if i % 2 else val).append((f"w{i}", whole))
+        (val if i % 2 else train).append((f"p{i}", one))
+    got = {(r["train_id"], r["eval_id"]) for r in cross_split_pairs(table(spark, train), {"val": table(spark, val)}).collect()}
+    want = {(f"w{i}", f"p{i}") if i % 2 else (f"p{i}", f"w{i}") for i in range(n)}
+    assert got == want

@@ -3,10 +3,10 @@
 Minwise hashing with banded buckets: 72 orders of the stretches, the least stretch under each, a
 band per value. What counts is the share of the smaller record's stretches that the larger one has
 (0.6), and between records of different size that means a low Jaccard similarity, so a band has
-one value, and a candidate must share two bands (one of 2,556 bands of two values). A pair
-with a Jaccard similarity of 0.13 (0.6 at sizes 1 : 4.2, or all of the smaller at 1 : 7.7)
-is missed with probability 5e-4, one of 0.185 with 7e-6; where the sizes differ more, the probability
-rises. Only pairs of a training and an evaluation record are kept, and they are checked exactly
+one value, and a candidate must share two bands (one of 2,556 bands of two values), and more where the sizes of a pair
+make more likely. A pair with a Jaccard similarity of 0.136 (0.6 at sizes 1 : 4) is missed with probability 4e-4,
+one of 0.185 with 7e-6. Pairs of sizes 1 : 4 and beyond are also looked up by stretches (``contained.py``), whose
+loss is 1e-4 whatever the ratio. Only pairs of a training and an evaluation record are kept, and they are checked exactly
 on all their distinct stretches.
 
 Defined cases: rows with a null id are left out; repeated rows count once; labels and sources that are
@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from windrow.llm import minwise
+from windrow.llm.contained import contained_candidates
 from windrow.llm.stretches import multipliers
 from windrow.llm.tables import tidy
 
 ORDERS, LEAST_HITS = 72, 2
+#: Sizes of which one is so many times the other are also looked up by stretches.
+UNLIKE_SIZES = 4.0
 
 
 def _side(df: DataFrame, split: int, columns: dict[str, str]) -> DataFrame:
@@ -48,7 +51,10 @@ def cross_split_pairs(train: DataFrame, evaluation: dict[str, DataFrame], thresh
         both = both.unionByName(_side(evaluation[name], i + 1, columns))
     feats = minwise.features(both, multipliers(ORDERS), both_ends=False, name="minwise")
     sided = feats.withColumn("side", F.least("side", F.lit(1)))
-    pairs = minwise.candidates(sided, ORDERS, 1, cross=True, least_hits=LEAST_HITS)
+    pairs = minwise.candidates(sided, minwise.Search(ORDERS, 1, threshold, of_smaller=True, cross=True, least_hits=LEAST_HITS, ratio=UNLIKE_SIZES))
+    unlike = contained_candidates(sided, threshold, UNLIKE_SIZES)
+    if unlike is not None:
+        pairs = pairs.unionByName(unlike).distinct()
     checked = minwise.verified(pairs, feats)
     links = checked.filter(F.col("common") >= F.lit(threshold) * F.least("size_a", "size_b"))
     links = links.select(

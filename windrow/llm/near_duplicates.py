@@ -32,7 +32,7 @@ def _features(df: DataFrame, id_col: str, sequence_col: str) -> DataFrame:
 
 
 def _text_links(feats: DataFrame, threshold: float) -> DataFrame:
-    pairs = minwise.candidates(feats, 2 * ORDERS, PER_BAND, cross=False)
+    pairs = minwise.candidates(feats, minwise.Search(2 * ORDERS, PER_BAND, threshold, of_smaller=False, cross=False))
     checked = minwise.verified(pairs, feats)
     links = checked.withColumn("union", F.col("size_a") + F.col("size_b") - F.col("common"))
     links = links.filter(F.col("common") >= F.lit(threshold) * F.col("union"))
@@ -48,7 +48,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str = "segment_id", sequence_col
     across = links.join(a, "a").join(b, "b").select("id_a", "id_b", "similarity")
     copies = members.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("tid").alias("a"))
     same = a.join(copies, "a", "left_semi")
-    same = same.join(same.select(F.col("a"), F.col("id_a").alias("id_b")), "a").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
+    same = same.join(same.select(F.col("a"), F.col("id_a").alias("id_b")), "a").filter("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
     pairs = across.unionByName(same).filter("id_a <> id_b")
     pairs = pairs.select(F.least("id_a", "id_b").alias("segment_id_a"), F.greatest("id_a", "id_b").alias("segment_id_b"), "similarity")
     return pairs.groupBy("segment_id_a", "segment_id_b").agg(F.max("similarity").alias("similarity"))
