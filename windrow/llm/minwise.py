@@ -134,7 +134,7 @@ def features(records: DataFrame, orders: np.ndarray, both_ends: bool, name: str)
             for i, one in enumerate(st.each_record(codes, starts)):
                 has = counts[i] > 0
                 tid.append(xxhash.xxh3_64_intdigest(one.tobytes()) - (1 << 63) if has else None)
-                size.append(len(st.distinct(one)) if has else None)
+                size.append(int(counts[i]) if has else None)
                 sig.append(sigs[i].tobytes() if has else None)
                 packed.append(st.pack(one) if has else None)
             keep = [batch.column(c) for c in ("id", "side", "label", "source")]

@@ -93,7 +93,8 @@ def record_stretches(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 
 def distinct(codes: np.ndarray) -> np.ndarray:
     """The distinct stretches of one record, sorted."""
-    return np.unique(record_stretches(codes, np.array([0, len(codes)]))[0])
+    found = np.sort(record_stretches(codes, np.array([0, len(codes)]))[0])
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
 def multipliers(count: int, seed: int = 20) -> np.ndarray:
@@ -102,7 +103,7 @@ def multipliers(count: int, seed: int = 20) -> np.ndarray:
 
 
 def signatures(codes: np.ndarray, starts: np.ndarray, orders: np.ndarray, both_ends: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Per record the least stretch under each order and, with both_ends, also the greatest; and stretch counts.
+    """Per record the least stretch under each order and, with both_ends, also the greatest; and the number of distinct stretches.
 
     Records without a stretch get a row of zeros and count 0. With both_ends one hash evaluation
     yields two signature values: the columns alternate least, greatest.
@@ -115,10 +116,12 @@ def signatures(codes: np.ndarray, starts: np.ndarray, orders: np.ndarray, both_e
     while i < n:
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK, side="right")) - 1)
         h, c = record_stretches(codes[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
-        counts[i:j] = c
         live = np.flatnonzero(c)
         if len(live):
             at = np.concatenate([[0], np.cumsum(c[live])[:-1]])
+            for k, (a, b) in enumerate(zip(at.tolist(), [*at[1:].tolist(), len(h)], strict=True)):
+                one = np.sort(h[a:b])
+                counts[i + live[k]] = 1 + np.count_nonzero(one[1:] != one[:-1])
             work = np.empty_like(h)
             for p, a in enumerate(orders):
                 np.multiply(h, a, out=work)
