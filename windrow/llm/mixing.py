@@ -4,8 +4,9 @@ Pivotal dependent rounding. Each text of a source is to be used c times, c the s
 tokens, at most its cap. The whole part of c is used in any case; the fraction is a probability. Within
 small random groups of a source, in order of size, two fractions at a time meet: mass (tokens) moves from
 one to the other at random until one of them is 0 or 1. Each group leaves at most one fraction, and these
-meet in groups of FAN up a tree until one is left, which is drawn. So the tokens used are those wanted to
-within one text, each text keeps its probability, and no task sees more than a bounded number of rows.
+meet in groups of FAN up a tree until one is left. That one is 0, and of the texts not used so far the one whose size is nearest to the
+tokens still missing is used instead (or none). So the tokens used are those wanted to within about half the distance of two sizes, each text keeps its
+probability but for this last one, and no task sees more than a bounded number of rows. The result depends on the rows and the seed alone, not on how they are parted.
 
 Defined cases: sources are compared trimmed and in lower case; texts of sources without a target are not used but
 count in the total; null and empty texts have no tokens and are not used; a source without tokens reaches nothing; repeated
@@ -88,9 +89,11 @@ def mix_sources(df: DataFrame, targets: DataFrame, seed: int = 11, id_col: str =
     stats = materialize(stats, "stats")
     largest = stats.agg(F.max("texts")).first()[0] or 0
     groups = max(1, -(-largest // LEAF))
-    rows = sizes.filter("tokens > 0").withColumn("row", F.monotonically_increasing_id()).join(stats.select("source", "copies_each"), "source")
+    # rows alike in all that counts are numbered, so that nothing hangs on their place
+    rows = sizes.filter("tokens > 0").groupBy("id", "source", "tokens").agg(F.count("*").alias("n")).withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).drop("n")
+    rows = rows.join(stats.select("source", "copies_each"), "source")
     rows = rows.withColumn("whole", F.floor("copies_each").cast("int")).withColumn("fraction", F.col("copies_each") - F.floor("copies_each"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "id", "row"), F.lit(groups)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "id", "tokens", "row"), F.lit(groups)))
     state = materialize(map_groups(rows.select("id", "row", "tokens", "source", "whole", "fraction", "bucket"), ["source", "bucket"], _meet(seed), _STATE), "rounded")
     between = (F.col("fraction") > 0) & (F.col("fraction") < 1)
     settled = [state.filter(~between)]
@@ -101,10 +104,15 @@ def mix_sources(df: DataFrame, targets: DataFrame, seed: int = 11, id_col: str =
         state = materialize(map_groups(up, ["source", "bucket"], _meet(seed + level), _STATE), "rounded")
         settled.append(state.filter(~between))
         groups = -(-groups // FAN)
-    drawn = F.pmod(F.xxhash64(F.lit(seed + 1), "source"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    done = state.filter(between).withColumn("fraction", F.when(drawn < F.col("fraction"), 1.0).otherwise(0.0))
+    last = state.filter(between)  # one a source at most
+    done = last.withColumn("fraction", F.lit(0.0))
     for part in settled:
         done = done.unionByName(part)
+    missing = last.select("source", (F.col("fraction") * F.col("tokens")).alias("missing"))
+    spare = done.filter("fraction = 0").join(missing, "source").withColumn("off", F.abs(F.col("tokens") - F.col("missing")))
+    nearest = spare.groupBy("source", "missing").agg(F.min(F.struct("off", "id", "row", "tokens")).alias("x")).filter("x.off < missing")
+    nearest = nearest.select("source", "x.id", "x.row", "x.tokens", F.lit(1.0).alias("more"))
+    done = done.join(nearest, ["source", "id", "row", "tokens"], "left").withColumn("fraction", F.coalesce("more", "fraction"))
     mix = done.select(F.col("id").alias(id_col), "source", "tokens", (F.col("whole") + F.col("fraction").cast("int")).alias("copies")).filter("copies > 0")
     mix = materialize(mix, "mix")
     got = mix.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))

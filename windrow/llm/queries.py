@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrow.llm import checks
 from windrow.llm.cross_split import cross_split_pairs, cross_split_report
 from windrow.llm.group_split import group_split, split_report
 from windrow.llm.mixing import mix_sources
@@ -122,7 +123,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p1_report, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_split, p5_report, p6_found, p6_sample, p6_report, p7_found, p7_packing, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_report, p3_found, p3_pieces, p4_found, p4_groups, p5_found, p5_split, p5_report, p6_found, p6_sample, p6_report, p7_found, p7_packing, p7_report, p8_found, p8_mix, p8_report, p9_found, p9_scores, p9_rates)} | checks.queries()
 
 
 _STRETCHES = """
@@ -145,19 +146,48 @@ SELECT a.assembly AS assembly_a, b.assembly AS assembly_b FROM m a JOIN m b ON a
 """
 
 _SHORT = """
-WITH p AS (SELECT segment_id, max(label) AS label, max(lower(trim(source))) AS source FROM train WHERE segment_id IS NOT NULL AND label IS NOT NULL AND trim(source) <> '' GROUP BY segment_id),
+WITH p AS (SELECT segment_id, latest.label AS label, latest.source AS source FROM (SELECT segment_id, max(struct_pack(label := label, source := lower(trim(source)))) AS latest FROM train WHERE segment_id IS NOT NULL AND label IS NOT NULL AND trim(source) <> '' GROUP BY segment_id)),
 c AS (SELECT label, source, count(*) AS n FROM p GROUP BY label, source), s AS (SELECT floor(count(*) * 0.25) AS size FROM p)
 SELECT CAST(t.label AS INT) AS label, t.source FROM label_targets t LEFT JOIN c ON c.label = t.label AND c.source = lower(trim(t.source)), s WHERE coalesce(c.n, 0) < greatest(t.min_rows, t.target_share * s.size)
 """
 
 
+#: Pairs of problem 1 with what is known of both records, from those of _STRETCHES without the order of the ids.
+_OVERLAPS = """
+WITH z AS ({stretches}),
+i AS (SELECT segment_id, max(struct_pack(label := label, source := nullif(lower(trim(source)), ''))) AS at, 'train' AS split FROM train WHERE segment_id IS NOT NULL GROUP BY segment_id
+  UNION ALL SELECT segment_id, max(struct_pack(label := label, source := nullif(lower(trim(source)), ''))), 'val' FROM val WHERE segment_id IS NOT NULL GROUP BY segment_id
+  UNION ALL SELECT segment_id, max(struct_pack(label := label, source := nullif(lower(trim(source)), ''))), 'test' FROM test WHERE segment_id IS NOT NULL GROUP BY segment_id),
+pairs AS (SELECT t.segment_id AS train_id, e.segment_id AS eval_id, e.split, CAST(t.at.label AS INT) AS train_label, CAST(e.at.label AS INT) AS eval_label, t.at.source AS train_source, e.at.source AS eval_source,
+  c / least(m, n) AS containment, c / (m + n - c) AS similarity
+  FROM z JOIN i t ON t.split = 'train' AND t.segment_id IN (segment_id_a, segment_id_b) JOIN i e ON e.split <> 'train' AND e.segment_id IN (segment_id_a, segment_id_b))
+"""
+
+_GROUPS = """
+WITH RECURSIVE pairs AS ({stretches}), ids AS (SELECT DISTINCT segment_id FROM train WHERE segment_id IS NOT NULL),
+e AS (SELECT segment_id_a AS u, segment_id_b AS v FROM pairs UNION SELECT segment_id_b, segment_id_a FROM pairs UNION SELECT segment_id, segment_id FROM ids),
+r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+g AS (SELECT u, min(v) AS g FROM r GROUP BY u),
+b AS (SELECT DISTINCT segment_id, regexp_replace(upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')), '[^ACGT]', 'N', 'g') AS bases FROM train WHERE segment_id IS NOT NULL),
+l AS (SELECT x.segment_id, count(DISTINCT y.bases) AS links FROM e JOIN b x ON x.segment_id = e.u JOIN b y ON y.segment_id = e.v AND y.bases <> x.bases GROUP BY x.segment_id)
+SELECT g.u AS segment_id, g.g AS group_id, count(*) OVER (PARTITION BY g.g) AS group_size, coalesce(l.links, 0) AS links FROM g LEFT JOIN l ON l.segment_id = g.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL twins; the others (texts in tokens, samples, splits, scores) are tested in tests/llm."""
     three = " UNION ".join(_BASES.format(side=i, table=t) for i, t in enumerate(("train", "val", "test")))
+    across = {"records": three, "sides": "(a.side = 0) <> (b.side = 0)", "test": "c >= 0.6 * least(x.n, y.n)"}
+    overlaps = _OVERLAPS.format(stretches=_STRETCHES.replace("AS segment_id_b FROM", "AS segment_id_b, c, x.n AS m, y.n AS n FROM").format(**across))
+    within = _STRETCHES.format(records=_BASES.format(side=0, table="train"), sides="TRUE", test="c >= 0.5 * (x.n + y.n - c)")
     return {
-        "p1_found": _STRETCHES.format(records=three, sides="(a.side = 0) <> (b.side = 0)", test="c >= 0.6 * least(x.n, y.n)"),
+        "p1_found": _STRETCHES.format(**across),
+        "p1_pairs": f"{overlaps} SELECT * FROM pairs",
+        "p1_report": f"""{overlaps} SELECT split, eval_source AS source, count(*) AS pairs, count(*) FILTER (train_label = eval_label) AS agreeing, count(*) FILTER (train_label <> eval_label) AS conflicting,
+            count(DISTINCT eval_id) AS eval_records, count(*) FILTER (similarity = 1) AS identical FROM pairs GROUP BY split, eval_source""",
+        "p4_groups": _GROUPS.format(stretches=within),
         "p3_found": "SELECT DISTINCT segment_id FROM segments WHERE segment_id IS NOT NULL AND length(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) > 8000",
-        "p4_found": _STRETCHES.format(records=_BASES.format(side=0, table="train"), sides="TRUE", test="c >= 0.5 * (x.n + y.n - c)"),
+        "p4_found": within,
         "p5_found": _RELATED,
         "p6_found": _SHORT,
-    }
+    } | checks.oracle_sql()

@@ -85,7 +85,8 @@ def controlled_rounding(cells: dict[tuple, float]) -> dict[tuple, int]:
 def _pool(df: DataFrame, id_col: str, label_col: str, source_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("label"), tidy(source_col).alias("source"))
     rows = rows.filter("id IS NOT NULL AND label IS NOT NULL AND source IS NOT NULL")
-    return rows.groupBy("id").agg(F.max("label").alias("label"), F.max("source").alias("source"))
+    # one of the rows of an id, not the greatest label and the greatest source of different rows
+    return rows.groupBy("id").agg(F.max(F.struct("label", "source")).alias("at")).select("id", "at.label", "at.source")
 
 
 def scaled_wants(shares: list[float], minima: list[float], size: int) -> list[float]:
