@@ -132,3 +132,36 @@ def test_tools(spark):
     assert [(r["seq_id"], r["pred"]) for r in tools.virsorter(v).collect()] == [("a", 1)]
     d = spark.createDataFrame([("a___1", 10, 0.91234, 0.01)], "name string, len int, score double, pvalue double")
     assert tuple(tools.deepvirfinder(d).first())[1:5] == (1, 1, 0.912, 0.088)
+
+
+def test_headers_with_marks_and_carriage_returns(spark, tmp_path):
+    (tmp_path / "m.fa").write_text(">a 5 prime ->3 prime end\nACGT\nAC\n>b >c\r\nGG\r\nTT\r\n\n>d\n")
+    got = {(r["seq_id"], r["description"], r["sequence"]) for r in fasta.read_fasta(spark, str(tmp_path / "m.fa")).collect()}
+    assert got == {("a", "5 prime ->3 prime end", "ACGTAC"), ("b", ">c", "GGTT"), ("d", "", "")}
+    assert fasta.first_records(spark, str(tmp_path / "m.fa")).select("seq_id", "length", "gc").first() == ("a", 6, 0.5)
+
+
+def test_prediction_files_with_other_columns(spark, tmp_path):
+    at = tmp_path / "m" / "cat" / "2k"
+    at.mkdir(parents=True)
+    (at / "a_predictions.csv").write_text("segment_id,prob_0,prob_1,pred_label\ns1,0.1,0.9,1\n")
+    (at / "b_predictions.csv").write_text('pred_label,sequence,prob_1,prob_0,seq_id,end,start\n0,"AC,GT",0.2,0.8,c1,20,10\n')
+    (at / "notes.csv").write_text("x\n1\n")
+    got = {r["input_file"]: r for r in tables.read_predictions(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b"} and got["a"]["seq_id"] is None and got["a"]["prob_1"] == "0.9"
+    assert (got["b"]["segment_id"], got["b"]["seq_id"], got["b"]["start"], got["b"]["end"], got["b"]["pred_label"]) == (None, "c1", "10", "20", "0")
+    assert tables.read_predictions(spark, str(tmp_path / "m" / "cat")).columns == got["a"].__fields__
+
+
+def test_chunks_follow_the_greedy_rule(spark, monkeypatch):
+    monkeypatch.setattr(fasta, "SPAN", 3)
+    sizes = [5, 40, 1, 1, 30, 90, 2, 2, 60, 7, 7, 7, 7, 100, 3]
+    df = spark.createDataFrame([(f"r{i:02d}", "A" * n) for i, n in enumerate(sizes)], "seq_id string, sequence string")
+    want, chunk, filled = [], 0, 0
+    for n in sizes:
+        if filled and filled + n + 6 > 60:
+            chunk, filled = chunk + 1, 0
+        filled += n + 6
+        want.append(chunk)
+    got = [r["chunk"] for r in fasta.chunk_numbers(df, "seq_id", 60).orderBy("seq_id").collect()]
+    assert got == want

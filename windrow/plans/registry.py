@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from windrow.plans import datasets, evaluation, extras, genome, periods, sequences
+from windrow.plans import datasets, evaluation, extras, files, genome, periods, sequences
 
-MODULES = (datasets, evaluation, extras, genome, periods, sequences)
+MODULES = (datasets, evaluation, extras, files, genome, periods, sequences)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

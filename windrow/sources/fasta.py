@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.functions.sequences import reverse_complement, wrapped
+from windrow.functions.sequences import gc_content, reverse_complement, wrapped
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str], upper: bool = True, whole_header: bool = False) -> DataFrame:
     """(seq_id, description, sequence, source_file, position): one row per record.
 
     seq_id is the header's first token (the whole header with whole_header); blank lines are skipped; position orders the records
-    of a file. Files are split by records, not lines, so a large file is read in parallel.
+    of a file. A record begins with a > at the beginning of a line. Files are split by records, not lines, so a large file is read in parallel.
     """
-    raw = spark.read.option("lineSep", ">").text(paths).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+    raw = spark.read.option("lineSep", "\n>").text(paths).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+    raw = raw.withColumn("value", F.regexp_replace("value", r"^\s*>", ""))  # that of a file's first record
     raw = raw.filter(F.length(F.trim(F.translate("value", "\r\n\t", "   "))) > 0)
     header = F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1))
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
@@ -51,10 +52,18 @@ def headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def genome_lengths(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(source_file, contigs, length): sums over lines, no sequence is put together."""
-    lines = spark.read.text(paths).select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("source_file"))
+    """(source_file, seq_id, contigs, length), seq_id that of the first header: sums over lines, no sequence is put together."""
+    lines = spark.read.text(paths).select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("source_file"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
     head = F.col("v").startswith(">")
-    return lines.groupBy("source_file").agg(F.count_if(head).alias("contigs"), F.sum(F.when(head, 0).otherwise(F.length("v"))).alias("length"))
+    first = F.min_by(F.when(head, F.regexp_extract("v", r"^>(\S*)", 1)), F.when(head, F.col("at"))).alias("seq_id")
+    return lines.groupBy("source_file").agg(first, F.count_if(head).alias("contigs"), F.sum(F.when(head, 0).otherwise(F.length("v"))).alias("length"))
+
+
+def first_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(source_file, seq_id, length, gc) of the first record of each file."""
+    records = read_fasta(spark, paths)
+    first = records.groupBy("source_file").agg(F.min_by(F.struct("seq_id", "sequence"), "position").alias("r"))
+    return first.select("source_file", "r.seq_id", F.length("r.sequence").alias("length"), gc_content("r.sequence").alias("gc"))
 
 
 def valid_alphabet(records: DataFrame) -> DataFrame:
@@ -80,29 +89,48 @@ def fetch(intervals: DataFrame, records: DataFrame, length: int | None = None) -
     return j.withColumn("sequence", F.substring(F.col("_s"), (a + 1).cast("int"), F.greatest(F.lit(0), b - a).cast("int"))).drop("_s")
 
 
-def write_fasta(df: DataFrame, path: str, id_col: str = "seq_id", sequence_col: str = "sequence", width: int = 80, mode: str = "error") -> None:
-    """Records as FASTA text with lines of width letters."""
-    df.select(F.concat(F.lit(">"), F.col(id_col), F.lit("\n"), wrapped(sequence_col, width)).alias("value")).write.mode(mode).text(path)
+def write_fasta(df: DataFrame, path: str, id_col: str = "seq_id", sequence_col: str = "sequence", width: int = 80, mode: str = "error", description_col: str | None = None) -> None:
+    """Records as FASTA text with lines of width letters; the description, if any, follows the id."""
+    more = F.concat(F.lit(" "), F.col(description_col)) if description_col else F.lit("")
+    df.select(F.concat(F.lit(">"), F.col(id_col), F.coalesce(more, F.lit("")), F.lit("\n"), wrapped(sequence_col, width)).alias("value")).write.mode(mode).text(path)
+
+
+#: Records whose sizes are in one array of chunk_numbers.
+SPAN = 4096
 
 
 def chunk_numbers(df: DataFrame, order: str, cap: int, id_col: str = "seq_id", sequence_col: str = "sequence") -> DataFrame:
     """df with chunk: records in order, a new chunk where the running size would pass the cap.
 
-    The greedy rule is a recurrence over all records, so the sizes alone (not the sequences) pass through one task.
+    The greedy rule is a recurrence over all records. Records are placed in order by ranges, SPAN of them are one row of sizes, and
+    only these rows pass one after the other through a task that streams and holds one of them at a time; sequences stay where they are.
     """
+    import numpy as np
     import pandas as pd
 
-    from windrow.ship import map_groups
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o", kind="stable")
-        chunk, filled, out = 0, 0, []
-        for n in pdf["n"]:
-            if filled and filled + n > cap:
-                chunk, filled = chunk + 1, 0
-            filled += n
-            out.append(chunk)
-        return pd.DataFrame({"k": pdf["k"], "chunk": out})
-
-    sizes = df.select(F.col(id_col).alias("k"), F.col(order).cast("string").alias("o"), (F.length(sequence_col) + F.length(id_col) + 3).cast("bigint").alias("n"), F.lit(1).alias("one"))
-    return df.join(map_groups(sizes, ["one"], run, "k string, chunk int").withColumnRenamed("k", id_col), id_col)
+    from windrow.operators.selection import placed
+    from windrow.ship import ship
+
+    def run(batches):
+        chunk, filled = 0, 0
+        for pdf in batches:
+            for sizes, span in zip(pdf["sizes"], pdf["span"], strict=True):
+                out, upto, i = np.empty(len(sizes), np.int64), np.cumsum(sizes), 0
+                while i < len(sizes):
+                    before = upto[i - 1] if i else 0
+                    j = max(int(np.searchsorted(upto, before + cap - filled, side="right")), i + (not filled))
+                    out[i:j] = chunk
+                    filled = filled + int((upto[j - 1] if j else 0) - before)
+                    if j < len(sizes):
+                        chunk, filled = chunk + 1, 0
+                    i = j
+                yield pd.DataFrame({"span": span, "chunk": [out.tolist()]})
+
+    ship(df.sparkSession)
+    size = (F.length(sequence_col) + F.length(id_col) + 3).cast("bigint")
+    # copies of a row of sizes are alike, so the place is enough to find them again
+    keys = placed(df.select(F.col(id_col).alias("_k"), F.col(order).cast("string").alias("_o"), size.alias("_n")), ["_o", "_k"]).withColumn("span", F.floor(F.col("place") / F.lit(SPAN)))
+    spans = keys.groupBy("span").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_n"))), lambda x: x["_n"]).alias("sizes"))  # SPAN numbers a row
+    numbered = spans.coalesce(1).sortWithinPartitions("span").mapInPandas(run, "span bigint, chunk array<bigint>").select("span", F.posexplode("chunk").alias("_i", "chunk"))
+    chunks = keys.withColumn("_i", (F.col("place") - F.col("span") * SPAN).cast("int")).join(numbered, ["span", "_i"]).select(F.col("_k").alias(id_col), F.col("chunk").cast("int").alias("chunk"))
+    return df.join(chunks, id_col)

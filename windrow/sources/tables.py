@@ -18,7 +18,7 @@ METRIC_WORDS = ("summary", "aggregate", "combined", "total")
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: str, sep: str = "\t", header: bool = False, comment: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Good rows of the schema, and bad ones as (line, source_file): rows with too few columns or numbers that can't be read.
+    """Good rows of the schema, and bad ones as (line, message, source_file): rows with too few columns or numbers that can't be read.
 
     Everything is read as text once and cast with try_cast, so a bad cell costs its row only; an empty file gives no rows.
     """
@@ -29,13 +29,12 @@ def read_delimited(spark: SparkSession, path: str | list[str], schema: str, sep:
     if header:
         lines = lines.filter(F.split("value", sep)[0] != fields[0][0])
     cells = F.split("value", sep, -1)
-    typed = lines.select("source_file", F.col("value").alias("line"), F.size(cells).alias("_n"), *(F.nullif(cells.getItem(i), F.lit("")).alias(f"_t{i}") for i in range(len(fields))))
+    typed = lines.select("source_file", F.col("value").alias("line"), F.size(cells).alias("_n"), *(F.nullif(F.get(cells, F.lit(i)), F.lit("")).alias(f"_t{i}") for i in range(len(fields))))
     typed = typed.select("source_file", "line", "_n", *(F.col(f"_t{i}").try_cast(t).alias(n) for i, (n, t) in enumerate(fields)), *(f"_t{i}" for i in range(len(fields))))
-    bad = F.col("_n") < len(fields)
-    for i, (n, t) in enumerate(fields):
-        if t != "string":
-            bad = bad | (F.col(f"_t{i}").isNotNull() & F.col(n).isNull())
-    return typed.filter(~bad).select(*(n for n, _ in fields)), typed.filter(bad).select("line", "source_file")
+    wrong = [F.when(F.col("_n") < len(fields), F.concat(F.lit(f"expected {len(fields)} columns, found "), F.col("_n").cast("string")))]
+    wrong += [F.when(F.col(f"_t{i}").isNotNull() & F.col(n).isNull(), F.concat(F.lit(f"{n} is no {t}: "), F.col(f"_t{i}"))) for i, (n, t) in enumerate(fields) if t != "string"]
+    message = F.coalesce(*wrong)
+    return typed.filter(message.isNull()).select(*(n for n, _ in fields)), typed.filter(message.isNotNull()).select("line", message.alias("message"), "source_file")
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:
@@ -77,12 +76,16 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """(genome, cluster, ordinal) of a table with a header; ordinal is the order in the file."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ordinal"))
-    head = lines.agg(F.min("ordinal").alias("h"))
+    """(genome, cluster, ordinal) of a table with a header; ordinal is the order in the file. Lines whose cluster is no number (the header) are left out."""
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     cells = F.split("value", "\t")
-    rows = lines.join(head, lines["ordinal"] != head["h"]).filter(F.length("value") > 0)
-    return rows.select(cells[0].alias("genome"), cells[1].try_cast("int").alias("cluster"), "ordinal")
+    rows = spark.read.text(path).select(cells[0].alias("genome"), F.get(cells, F.lit(1)).try_cast("int").alias("cluster"), at.alias("ordinal"))
+    return rows.filter("cluster IS NOT NULL")
+
+
+def first_of_clusters(clusters: DataFrame) -> DataFrame:
+    """(cluster, genome, members): the genome that comes first in the file stands for its cluster."""
+    return clusters.groupBy("cluster").agg(F.min_by("genome", "ordinal").alias("genome"), F.count("*").alias("members"))
 
 
 def read_mash(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -92,13 +95,33 @@ def read_mash(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select(stem("query").alias("query"), stem("reference").alias("reference"), "distance")
 
 
+#: Columns of prediction files; a file may lack any but the probabilities, and have others, in any order.
+PREDICTION_COLUMNS = ("segment_id", "seq_id", "label", "start", "end", "prob_0", "prob_1", "pred_label")
+
+
 def read_predictions(spark: SparkSession, root: str) -> DataFrame:
-    """All *_predictions.csv below root/model/category/window, with these as columns; folders that begin with _ are skipped."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_predictions.csv").csv(root, header=True, schema="segment_id string, seq_id string, label string, start string, end string, prob_0 string, prob_1 string, pred_label string", enforceSchema=False)
-    path = F.col("_metadata.file_path")
-    part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)/([^/]+)_predictions\.csv$", i)
-    rows = rows.select(part(1).alias("model"), part(2).alias("category"), part(3).alias("window"), part(4).alias("input_file"), "*")
-    return rows.filter(~(F.col("model").startswith("_") | F.col("category").startswith("_") | F.col("window").startswith("_")))
+    """All *_predictions.csv below root/model/category/window with these four as columns, and PREDICTION_COLUMNS as text; folders that begin with _ are skipped.
+
+    Files are read by their own headers: those with the same header are one scan, in which columns that aren't asked for are pruned.
+    Columns that a file lacks are null. A header is a line that names both probabilities.
+    """
+    option = {"recursiveFileLookup": "true", "pathGlobFilter": "*_predictions.csv"}
+    lines = spark.read.options(**option).text(root).filter(F.contains("value", F.lit("prob_0")) & F.contains("value", F.lit("prob_1")))
+    layouts: dict[str, list[str]] = {}
+    for row in lines.select("value", F.col("_metadata.file_path").alias("path")).distinct().collect():  # a header a file, as in the driver's list of files
+        layouts.setdefault(row["value"], []).append(row["path"])
+    out = None
+    for header, paths in sorted(layouts.items()):
+        names = [n.strip().strip('"') for n in header.lstrip("\ufeff").rstrip("\r").split(",")]
+        rows = spark.read.csv(sorted(paths), header=True, schema=", ".join(f"`{n}` string" for n in names), maxCharsPerColumn=-1, escape='"')
+        path = F.col("_metadata.file_path")
+        part = lambda i: F.regexp_extract(path, r"([^/]+)/([^/]+)/([^/]+)/([^/]+)_predictions\.csv$", i)  # noqa: B023, E731
+        columns = [F.col(f"`{n}`") if n in names else F.lit(None).cast("string").alias(n) for n in PREDICTION_COLUMNS]
+        rows = rows.select(part(1).alias("model"), part(2).alias("category"), part(3).alias("window"), part(4).alias("input_file"), *columns)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(f"`{n}` string" for n in ("model", "category", "window", "input_file", *PREDICTION_COLUMNS)))
+    return out.filter(~(F.col("model").startswith("_") | F.col("category").startswith("_") | F.col("window").startswith("_")))
 
 
 def read_label_folders(spark: SparkSession, root: str) -> DataFrame:
@@ -166,7 +189,7 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", digits: int | None
     """CSV or TSV in the columns' order; doubles with fixed digits if given; null is empty."""
     if digits is not None:
         df = df.select(*(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
-    df.write.mode(mode).csv(path, sep=sep, header=header, emptyValue="", nullValue="")
+    df.write.mode(mode).csv(path, sep=sep, header=header, emptyValue="", nullValue="", escape='"')
 
 
 def write_bed(df: DataFrame, path: str, keys: list[str], name: str = "region", mode: str = "error") -> None:
