@@ -246,3 +246,47 @@ def test_storage(spark, tmp_path):
     df = materialize(spark.range(5), "five")
     assert df.count() == 5 and "Parquet" in df._jdf.queryExecution().toString()
     assert shared_dir(spark)
+
+
+def test_rolling_medians_and_smoothing_by_hand():
+    rng = np.random.default_rng(3)
+    for n, width in ((1, 5), (40, 1), (300, 4), (300, 7), (50, 200)):
+        v = np.round(rng.normal(size=n), 1)
+        v[rng.random(n) < 0.1] = np.nan
+        middle, spread = sg._medians(v, width)
+        for i in range(n):
+            f = v[max(0, i - width // 2) : i + (width - 1) // 2 + 1]
+            f = f[~np.isnan(f)]
+            if len(f):
+                m = np.median(f)
+                assert middle[i] == pytest.approx(m) and spread[i] == pytest.approx(np.median(np.abs(f - m)))
+            else:
+                assert np.isnan(middle[i])
+    v = rng.normal(size=501)
+    y = [v[0]]
+    for x in v[1:]:
+        y.append(y[-1] + 0.4 * (x - y[-1]))
+    assert sg._decayed(v, 0.4) == pytest.approx(np.array(y))
+    gone = v.copy()
+    gone[[0, 100, 500]] = np.nan
+    assert np.isnan(sg.ewm_both_ways(gone, 4)[[0, 100, 500]]).all() and np.isnan(sg.ewm_both_ways(gone, 4)).sum() == 3
+
+
+def test_collapse_majority(spark):
+    rows = spark.createDataFrame([("g", f"s{i}", 0, 1000, 0.5, i % 2, 0) for i in range(4)], "g string, segment_id string, start bigint, end bigint, score double, pred int, label int")
+    assert [sg.collapse(rows, ["g"], 1000, strict).first()["pred"] for strict in (True, False)] == [0, 1]
+
+
+def test_one_key_in_many_batches(spark):
+    """A key with a third of all rows, over several Arrow batches."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.range(900).selectExpr("IF(id % 3 = 0, 'hot', concat('k', id % 50)) AS k", "id AS o", "CAST(id % 7 AS DOUBLE) AS v")
+        got = {(r["k"], r["o"]): r["smooth"] for r in sg.smooth(df, ["k"], "o", "v", 5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 900
+    for key in ("hot", "k1", "k2"):
+        o = sorted(x for k, x in got if k == key)
+        assert [got[key, x] for x in o] == pytest.approx(sg.ewm_both_ways(np.array([float(x % 7) for x in o]), 5))

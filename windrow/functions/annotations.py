@@ -104,7 +104,7 @@ def file_stem(path: str | Column) -> Column:
 
 
 def dataset_kind(name: str | Column) -> Column:
-    """What kind of data set a file holds, by its name; the first rule that fits."""
+    """What kind of data set a file holds, by its name; the first rule that fits. The words, their order and the kinds are fixed values."""
     n = F.lower(_c(name))
     has = lambda w: F.contains(n, F.lit(w))
     return (

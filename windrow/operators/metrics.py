@@ -285,3 +285,11 @@ def running_loss(df: DataFrame, keys: list[str], loss: str, tokens: str) -> Data
     t = F.sum(tokens)
     out = df.groupBy(*keys).agg(t.alias("tokens"), F.try_divide(F.sum(F.col(loss) * F.col(tokens)), t).alias("loss"))
     return out.withColumn("perplexity", F.exp("loss"))
+
+
+def cumulative_curve(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, rows, fraction): the share of rows with at least each distinct value, from the greatest down. Distinct values are ordered, not rows."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    down = Window.partitionBy(*keys).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.withColumns({"rows": F.sum("_n").over(down), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    return rows.select(*keys, value, "rows", (F.col("rows") / F.col("_all")).alias("fraction"))

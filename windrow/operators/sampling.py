@@ -73,21 +73,15 @@ def samples_per_length(length: str | Column, size: int, least: int) -> Column:
     return F.when(n < least, 0).when(n < size, 1).otherwise(F.floor(n / F.lit(size)))
 
 
-def nonoverlapping_starts(length: int, n: int, size: int, key: str, seed: int, tries: int = 1000) -> list[int]:
-    """Up to n random starts whose pieces of size bases don't overlap, sorted: each is drawn until it fits, at most tries times."""
-    if length < size:
-        return []
+def nonoverlapping_starts(length: int, n: int, size: int, key: str, seed: int) -> list[int]:
+    """n random starts (or as many as fit) whose pieces of size bases don't overlap, sorted.
+
+    The bases that no piece takes are dealt out: n sorted random places among them, each moved by the pieces before it. Every layout is equally likely.
+    """
+    n = min(n, length // size)
     rng = random.Random(int(hashlib.md5(f"{key}|{seed}".encode()).hexdigest()[:16], 16))
-    out: list[int] = []
-    for _ in range(n):
-        for _ in range(tries):
-            s = rng.randint(0, length - size)
-            if all(abs(s - t) >= size for t in out):
-                out.append(s)
-                break
-        else:
-            break
-    return sorted(out)
+    places = sorted(rng.sample(range(length - n * size + n), n)) if n > 0 else []
+    return [place + i * (size - 1) for i, place in enumerate(places)]
 
 
 def random_segments(df: DataFrame, key: str, length: str, n: str, size: int, seed: int) -> DataFrame:
@@ -181,6 +175,19 @@ def folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.conv(F.substring(seeded(key, seed), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int"))
 
 
+def equal_folds(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """(key, fold) of distinct keys: shuffled, then dealt out in turn, so the folds differ by one key at most. Places come from ranges, not from one sort."""
+    from windrow.operators.selection import placed
+
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_h", seeded(key, seed))
+    return placed(keys, ["_h", key]).select(key, F.pmod("place", F.lit(k)).cast("int").alias("fold"))
+
+
+def fold_splits(dealt: DataFrame, fold: int, column: str = "fold") -> DataFrame:
+    """dealt with split: one fold is validation, the others are train."""
+    return dealt.withColumn("split", F.when(F.col(column) == fold, "validation").otherwise("train"))
+
+
 def masked(ids: str | Column, key: str | Column, seed: int, share: float = 0.15, mask_id: int = 4, vocabulary: int = 4101) -> Column:
     """A struct of masked token numbers and labels: of the chosen share 80 % are the mask, 10 % random, 10 % kept; -100 labels the others."""
     a = F.col(ids) if isinstance(ids, str) else ids

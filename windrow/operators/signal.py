@@ -6,20 +6,22 @@ recurrence of exponential smoothing runs in grouped pandas; everything else is b
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrow.operators.metrics import rates
 from windrow.ship import with_run_columns
+from windrow.storage import materialize
 
 
 def collapse(df: DataFrame, keys: list[str], step: int = 1000, strict_majority: bool = True) -> DataFrame:
     """Overlapping windows (start, end, score, pred, label) into bins of step bases: (keys, start, end, score, pred, label, windows).
 
     Bins begin at the least start of the key; the last is clipped at the greatest end. A window counts for
-    the bins it covers wholly. score is the mean, pred the majority (a tie is 0), label that of the first window.
+    the bins it covers wholly. score is the mean, pred the majority (a tie is 0, or 1 without strict_majority), label that of the first window.
     Each window is exploded into its few bins and these are aggregated by hash.
     """
     rows = df.filter("start IS NOT NULL AND end IS NOT NULL AND start < end")
@@ -31,8 +33,10 @@ def collapse(df: DataFrame, keys: list[str], step: int = 1000, strict_majority:
     last = F.when(F.col("end") == F.col("_hi"), clipped).otherwise(last)
     rows = rows.withColumn("_first", first.cast("bigint")).withColumn("_last", last.cast("bigint")).filter("_first <= _last")
     rows = rows.withColumn("_k", F.explode(F.sequence("_first", "_last")))
+    twice = 2 * F.sum("pred")
+    majority = twice > F.count("pred") if strict_majority else (twice >= F.count("pred")) & (F.count("pred") > 0)
     binned = rows.groupBy(*keys, "_k", "_lo", "_hi").agg(
-        F.avg("score").alias("score"), (2 * F.sum("pred") > F.count("pred")).cast("int").alias("pred"),
+        F.avg("score").alias("score"), majority.cast("int").alias("pred"),
         F.min_by("label", F.struct("start", "end", "segment_id")).alias("label"), F.count("*").alias("windows"),
     )
     start = F.col("_lo") + F.col("_k") * step
@@ -71,14 +75,30 @@ def normalize(df: DataFrame, keys: list[str], value: str, method: str, scale: fl
     raise ValueError(f"method must be one of {', '.join(NORMALS)}")
 
 
+def _decayed(x: np.ndarray, weight: float, block: int = 64) -> np.ndarray:
+    """y[i] = y[i - 1] + weight * (x[i] - y[i - 1]) from y[0] = x[0].
+
+    Within a block the values' parts are one matrix product; what comes from before a block is one number, carried on.
+    """
+    keep, n = 1 - weight, len(x)
+    rows = np.append(x, np.zeros(-n % block)).reshape(-1, block)
+    age = np.subtract.outer(np.arange(block), np.arange(block))
+    own = rows @ np.where(age >= 0, weight * keep ** np.maximum(age, 0), 0.0).T
+    carry, before = np.empty(len(rows)), x[0]
+    for i, last in enumerate(own[:, -1]):
+        carry[i] = before
+        before = last + keep**block * before
+    return (own + carry[:, None] * keep ** np.arange(1, block + 1)).ravel()[:n]
+
+
 def ewm_both_ways(values: np.ndarray, span: int) -> np.ndarray:
-    """Mean of the exponential smoothing forwards and backwards, weight 2/(span+1); a span up to 1 changes nothing."""
-    if span <= 1 or not len(values):
+    """Mean of the exponential smoothing forwards and backwards, weight 2/(span+1); a span up to 1 changes nothing. Missing values stay missing and weigh nothing."""
+    known = ~np.isnan(values)
+    if span <= 1 or not known.any():
         return values
-    s = pd.Series(values)
-    there = s.ewm(span=span, adjust=False).mean().to_numpy()
-    back = s[::-1].ewm(span=span, adjust=False).mean().to_numpy()[::-1]
-    return (there + back) / 2
+    x, out = values[known], np.full(len(values), np.nan)
+    out[known] = (_decayed(x, 2 / (span + 1)) + _decayed(x[::-1], 2 / (span + 1))[::-1]) / 2
+    return out
 
 
 def smooth(df: DataFrame, keys: list[str], order: str, value: str, span: int, name: str = "smooth") -> DataFrame:
@@ -131,10 +151,35 @@ def rolling(df: DataFrame, keys: list[str], order: str, value: str, width: int)
     return df.withColumns({"rolling_sum": F.sum(value).over(w), "rolling_mean": F.avg(value).over(w), "rolling_median": F.percentile(value, 0.5).over(w)})
 
 
+def _kth_distance(ordered: list[float], middle: float, k: int) -> float:
+    """The k-th least (from 0) of the distances of sorted values to middle: those below and those above it are sorted runs, searched by halving."""
+    split = bisect_left(ordered, middle)
+    low, high = max(0, k + 1 - (len(ordered) - split)), min(k + 1, split)  # how many of the k + 1 nearest lie below
+    while low < high:
+        below = (low + high) // 2
+        if middle - ordered[split - 1 - below] < ordered[split + k - below] - middle:
+            low = below + 1
+        else:
+            high = below
+    return max(middle - ordered[split - low] if low else 0.0, ordered[split + k - low] - middle if k >= low else 0.0)
+
+
 def _medians(v: np.ndarray, width: int) -> list[np.ndarray]:
-    frames = [v[max(0, i - width // 2) : i + (width - 1) // 2 + 1] for i in range(len(v))]
-    middle = np.array([np.median(f) for f in frames])
-    return [middle, np.array([np.median(np.abs(f - c)) for f, c in zip(frames, middle, strict=True)])]
+    """Median and mad of the frame of each row: a sorted window takes in and gives up one value a row. Missing values are in no frame."""
+    before, after = width // 2, (width - 1) // 2
+    middle, spread, ordered = np.full(len(v), np.nan), np.full(len(v), np.nan), []
+    for x in v[:after].tolist():
+        if x == x:
+            insort(ordered, x)
+    for i in range(len(v)):
+        if i + after < len(v) and (x := float(v[i + after])) == x:
+            insort(ordered, x)
+        if i - before > 0 and (x := float(v[i - before - 1])) == x:
+            del ordered[bisect_left(ordered, x)]
+        if n := len(ordered):
+            middle[i] = (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+            spread[i] = (_kth_distance(ordered, middle[i], (n - 1) // 2) + _kth_distance(ordered, middle[i], n // 2)) / 2
+    return [middle, spread]
 
 
 def rolling_mad(df: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
@@ -217,6 +262,25 @@ def grid_search(bins: DataFrame, keys: list[str], unit: str, thresholds: list[fl
     return rates(out).select(*params, "genomes", "tp", "tn", "fp", "fn", *macro, F.col("mcc").alias("micro_mcc"))
 
 
+def grid_search_signals(bins: DataFrame, keys: list[str], unit: str, methods: list[str], spans: list[int], thresholds: list[float], gaps: list[int], sizes: list[int], value: str = "score", digits: int = 9) -> DataFrame:
+    """grid_search over normalised and smoothed signals too: every method of normalize ('none' for the value itself) with every span.
+
+    Each normalised signal and each of its smoothings is computed once per key and unit; thresholds, gaps and sizes are swept over all of them together.
+    Signals are rounded to digits, so that a threshold doesn't hang on the order of a sum.
+    """
+    per = [*keys, unit]
+    rows = bins.filter("start IS NOT NULL AND end IS NOT NULL").select(*per, "start", "end", "label", F.col(value).alias("_v"))
+    rows, out = materialize(rows, "bins"), None
+    for method in methods:
+        normal = rows.withColumn("normal", F.col("_v")) if method == "none" else normalize(rows, per, "_v", method)
+        normal = normal.select(*per, "start", "end", "label", "normal", F.lit(method).alias("method"))
+        smoothed = with_run_columns(normal, per, ["start"], "normal", lambda v: [ewm_both_ways(v, s) for s in spans], [f"_s{s}" for s in spans])
+        out = smoothed if out is None else out.unionByName(smoothed)
+    signals = F.explode(F.array(*(F.struct(F.lit(int(s)).alias("span"), F.round(f"_s{s}", digits).alias("signal")) for s in spans)))
+    long = out.withColumn("_x", signals).select(*per, "start", "end", "label", "method", "_x.span", "_x.signal")
+    return grid_search(materialize(long, "signals"), [*keys, "method", "span"], unit, thresholds, gaps, sizes, "signal")
+
+
 def best_per_key(df: DataFrame, keys: list[str], metric: str, order: list[str]) -> DataFrame:
     """The row with the greatest metric per key; the first by order on ties."""
     w = Window.partitionBy(*keys).orderBy(F.desc(metric), *order)

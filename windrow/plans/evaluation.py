@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from windrow.operators import metrics as m
+from windrow.operators import metrics as m, sampling as sm
 from windrow.operators.predictions import genome_of, mismatches, normalize_predictions
 
 
@@ -301,3 +301,16 @@ def q_chi_square(spark, d):
     sums = s.agg(F.sum("observed").alias("o"), F.sum("total").alias("t")).first()
     e = s.withColumn("expected", F.col("total") * F.lit(float(sums["o"] or 0)) / F.lit(float(sums["t"] or 1)))
     return rounded(m.chi_square_terms(e, "source", "observed", "expected"))
+
+
+@query(PRED + ", c AS (SELECT model, round(score, 3) AS identity, count(*) AS n FROM pred WHERE score IS NOT NULL GROUP BY ALL) SELECT model, identity, CAST(sum(n) OVER d AS BIGINT) AS rows, round(sum(n) OVER d / sum(n) OVER (PARTITION BY model), 9) AS fraction FROM c WINDOW d AS (PARTITION BY model ORDER BY identity DESC ROWS UNBOUNDED PRECEDING)")
+def q_cumulative_identity(spark, d):
+    """Share of rows that reach each score, per model."""
+    p = predictions(spark, d).filter("score IS NOT NULL").select("model", F.round("score", 3).alias("identity"))
+    return rounded(m.cumulative_curve(p, ["model"], "identity"))
+
+
+@query("WITH k AS (SELECT DISTINCT segment_id FROM train WHERE segment_id IS NOT NULL) SELECT segment_id, CAST((row_number() OVER (ORDER BY md5(segment_id || '|7'), segment_id) - 1) % 5 AS INT) AS fold, CASE WHEN (row_number() OVER (ORDER BY md5(segment_id || '|7'), segment_id) - 1) % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM k")
+def q_equal_folds(spark, d):
+    """Five shuffled folds of equal size, the first for validation."""
+    return sm.fold_splits(sm.equal_folds(spark.read.parquet(f"{d}/train.parquet"), "segment_id", 5, 7), 0)

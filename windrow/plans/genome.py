@@ -177,6 +177,25 @@ def q_grid_search_best(spark, d):
     return sg.best_per_key(_grid(spark, d), ["model"], "macro_mcc", ["threshold", "gap", "smallest"])
 
 
+_SIGNALS = BINS.replace("WITH raw", "WITH RECURSIVE raw", 1) + """, q AS (SELECT model, seq_id, quantile_cont(score, 0.5) AS q2, avg(score) AS mean, stddev_pop(score) AS sd FROM bins GROUP BY ALL), md AS (SELECT b.model, b.seq_id, quantile_cont(abs(score - q2), 0.5) AS mad FROM bins b JOIN q USING (model, seq_id) GROUP BY ALL),
+ nrm AS (SELECT model, seq_id, start, "end", label_, method, CASE method WHEN 'none' THEN score WHEN 'zscore' THEN CASE WHEN sd > 1e-12 THEN (score - mean) / sd ELSE 0 END WHEN 'robust' THEN CASE WHEN mad > 0 THEN (score - q2) / mad ELSE score - q2 END ELSE score - q2 END AS v
+  FROM bins JOIN q USING (model, seq_id) JOIN md USING (model, seq_id), (SELECT unnest(['none', 'zscore', 'robust', 'median']) AS method)),
+ n AS (SELECT *, row_number() OVER (PARTITION BY model, seq_id, method ORDER BY start) AS i, row_number() OVER (PARTITION BY model, seq_id, method ORDER BY start DESC) AS j FROM nrm),
+ fw AS (SELECT model, seq_id, method, i, v FROM n WHERE i = 1 UNION ALL SELECT n.model, n.seq_id, n.method, n.i, fw.v + (n.v - fw.v) / 3 FROM fw JOIN n ON n.model = fw.model AND n.seq_id = fw.seq_id AND n.method = fw.method AND n.i = fw.i + 1),
+ bw AS (SELECT model, seq_id, method, j, v FROM n WHERE j = 1 UNION ALL SELECT n.model, n.seq_id, n.method, n.j, bw.v + (n.v - bw.v) / 3 FROM bw JOIN n ON n.model = bw.model AND n.seq_id = bw.seq_id AND n.method = bw.method AND n.j = bw.j + 1),
+ sig AS (SELECT model, seq_id, method, start, "end", label_, 1 AS span, round(v, 6) AS score FROM n
+  UNION ALL SELECT n.model, n.seq_id, n.method, n.start, n."end", n.label_, 5, round((fw.v + bw.v) / 2, 6) FROM n JOIN fw ON fw.model = n.model AND fw.seq_id = n.seq_id AND fw.method = n.method AND fw.i = n.i JOIN bw ON bw.model = n.model AND bw.seq_id = n.seq_id AND bw.method = n.method AND bw.j = n.j),
+ cells AS (SELECT * REPLACE (model || '|' || method || '|' || span AS model) FROM sig)""" + _GRID[len(BINS) :].replace("FROM bins", "FROM cells").replace("round(mcc, 6) AS micro_mcc", "mcc AS micro_mcc")
+
+
+@query(_SIGNALS + " SELECT split_part(model, '|', 1) AS model, split_part(model, '|', 2) AS method, CAST(split_part(model, '|', 3) AS INT) AS span, * EXCLUDE (model) FROM g")
+def q_grid_search_signals(spark, d):
+    """The grid over normalisations and smoothings of the bins as well."""
+    bins = sg.collapse(windows(spark, d), K)
+    g = sg.grid_search_signals(bins, ["model"], "seq_id", ["none", "zscore", "robust", "median"], [1, 5], [0.3, 0.5, 0.7], [0, 3000, 10_000], [0, 2000, 5000], digits=6)
+    return rounded(g.withColumn("micro_mcc", F.round("micro_mcc", 9).cast("decimal(20,9)")), 6).withColumn("micro_mcc", F.col("micro_mcc").cast("double") + F.lit(0.0))
+
+
 def truth(spark, d):
     """Known prophages per contig, in order."""
     k = spark.read.parquet(f"{d}/known_prophages.parquet")

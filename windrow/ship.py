@@ -69,19 +69,28 @@ def with_run_columns(df: DataFrame, keys: list[str], order: list[str], value: st
         return pdf.assign(**{n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)})
 
     def run(batches):
-        held = None
+        held: list[pd.DataFrame] = []  # of the key that the last batch ended in
+
+        def settled() -> pd.DataFrame:
+            return computed(pd.concat(held, ignore_index=True) if len(held) > 1 else held[0], np.array([0]))
+
         for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
             starts = runs(pdf)
-            last = starts[-1]
-            if last:
-                yield computed(pdf.iloc[:last], starts[:-1])
-            held = pdf.iloc[last:]
-        if held is not None and len(held):
-            yield computed(held, np.array([0]))
+            if held and len(runs(pd.concat([held[-1].iloc[-1:], pdf.iloc[:1]], ignore_index=True))) > 1:
+                yield settled()
+                held = []
+            if len(starts) == 1:
+                held.append(pdf)
+                continue
+            held.append(pdf.iloc[: starts[1]])
+            yield settled()
+            if len(starts) > 2:
+                yield computed(pdf.iloc[starts[1] : starts[-1]], starts[1:-1] - starts[1])
+            held = [pdf.iloc[starts[-1] :]]
+        if held:
+            yield settled()
 
     ship(df.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in columns)
