@@ -290,3 +290,27 @@ def test_one_key_in_many_batches(spark):
     for key in ("hot", "k1", "k2"):
         o = sorted(x for k, x in got if k == key)
         assert [got[key, x] for x in o] == pytest.approx(sg.ewm_both_ways(np.array([float(x % 7) for x in o]), 5))
+
+
+def test_proportional_allocation_by_units():
+    """Against the rule carried out one unit at a time."""
+    rng = random.Random(11)
+    for _ in range(300):
+        counts = {f"g{i}": rng.choice([0, 1, 2, 5, 40, 300]) for i in range(rng.randrange(1, 9))}
+        whole, groups = sum(counts.values()), [k for k in sorted(counts, key=lambda k: (-counts[k], k)) if counts[k]]
+        total = rng.randrange(len(groups), 60) if len(groups) < 60 else 60
+        for repair in ("largest", "smallest"):
+            got = sm.proportional_allocation(counts, total, repair)
+            goal = min(total, whole)
+            want = {k: min(counts[k], max(1, goal * counts[k] // whole)) for k in groups} if goal else {}
+            while sum(want.values()) > goal:
+                able = [k for k in groups if want[k] > 1]
+                want[max(able, key=lambda k: want[k]) if repair == "largest" else min(able, key=lambda k: want[k])] -= 1
+            turn = 0
+            while sum(want.values()) < goal:
+                k = groups[turn % len(groups)] if repair == "largest" else next(k for k in groups if want[k] < counts[k])
+                turn += 1
+                if want[k] < counts[k]:
+                    want[k] += 1
+            assert got == want, (counts, total, repair)
+    assert sum(sm.proportional_allocation({f"g{i}": i + 1 for i in range(9)}, 4).values()) == 4

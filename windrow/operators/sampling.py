@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -103,27 +104,32 @@ def random_segments(df: DataFrame, key: str, length: str, n: str, size: int, see
 
 
 def proportional_allocation(counts: dict[str, int], total: int, repair: str = "largest") -> dict[str, int]:
-    """Shares of total in proportion to counts, at least 1 and at most what is there, repaired to the total.
+    """Shares of total in proportion to counts, rounded down, at least 1 and at most what is there, repaired to the total.
 
-    Too many: one is taken from the largest share (repair='largest') or from the smallest above 1 ('smallest'); too few: one is given to
-    the group with the most left. The total is at most the sum of counts.
+    repair='largest': what is too much is taken from the largest shares, what is missing is dealt out in turn, the largest groups first.
+    repair='smallest': what is too much is taken from the smallest shares above 1, what is missing goes to the largest group that has some left.
+    With more groups than places the smallest groups get none. The total is at most the sum of counts.
     """
-    counts = {k: c for k, c in counts.items() if c > 0}
-    whole = sum(counts.values())
-    total = min(total, whole)
-    if not counts or total <= 0:
-        return {}
-    out = {k: min(c, max(1, round(total * c / whole))) for k, c in counts.items()}
-    while sum(out.values()) > total:
-        able = [k for k in sorted(out) if out[k] > 1]
-        if not able:  # more groups than places: the smallest groups lose theirs
-            out.pop(min(out, key=lambda k: (counts[k], k)))
-            continue
-        k = max(able, key=lambda k: out[k]) if repair == "largest" else min(able, key=lambda k: out[k])
+    order = sorted((k for k, c in counts.items() if c > 0), key=lambda k: (-counts[k], k))
+    whole = sum(counts[k] for k in order)
+    total = max(0, min(total, whole))
+    order = order[:total]
+    out = {k: min(counts[k], max(1, total * counts[k] // whole)) for k in order}
+    place = {k: i for i, k in enumerate(order)}
+    sign = -1 if repair == "largest" else 1
+    over = [(sign * n, place[k], k) for k, n in out.items() if n > 1]
+    heapify(over)
+    for _ in range(sum(out.values()) - total):
+        share, i, k = heappop(over)
         out[k] -= 1
-    while sum(out.values()) < total:
-        k = max(sorted(out), key=lambda k: counts[k] - out[k])
-        out[k] += 1
+        if out[k] > 1:
+            heappush(over, (share - sign, i, k))
+    missing = total - sum(out.values())
+    while missing:
+        for k in order:
+            more = min(missing, counts[k] - out[k], 1 if repair == "largest" else missing)
+            out[k] += more
+            missing -= more
     return out
 
 

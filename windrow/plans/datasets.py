@@ -172,9 +172,11 @@ def q_random_segments(spark, d):
     return sm.random_segments(g, "accession", "genome_length", "n", 2000, 4)
 
 
-@query()
+@query(GENOMES + """, k AS (SELECT substr(accession, 5, 3) AS clade, count(*) AS c FROM gen GROUP BY 1), w AS (SELECT least(20, sum(c))::BIGINT AS total, sum(c)::BIGINT AS whole FROM k),
+ f AS (SELECT clade, c, total, least(c, greatest(1, total * c // whole)) AS n FROM k, w), m AS (SELECT *, total - sum(n) OVER () AS missing, row_number() OVER (ORDER BY n < c DESC, c DESC, clade) AS place FROM f)
+ SELECT clade, CAST(n + CASE WHEN n < c AND place <= missing THEN 1 ELSE 0 END AS BIGINT) AS n FROM m""")
 def q_proportional_allocation(spark, d):
-    """A hundred genomes over the clades in proportion, each at least once, from as many segments sources as there are."""
+    """Twenty genomes over the clades in proportion, each at least once (the SQL holds where no share has to be taken back and one turn deals out the rest)."""
     g = genomes(spark, d).withColumn("clade", F.substring("accession", 5, 3))
     counts = g.groupBy("clade").agg(F.count("*").alias("c"))
     return sm.allocated(counts, "clade", "c", 20)
