@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 from heapq import heapify, heappop, heappush
 
@@ -156,16 +157,16 @@ def coverage_segments(df: DataFrame, key: str, length: str, coverage: float, siz
     """Random segments so that their bases are coverage times those of the sequences: (segment, key, start, end).
 
     ceil(coverage * sum / size) uniform places on all sequences laid end to end; each is in one sequence and runs to at most its end;
-    those under least bases are dropped. The places are joined with the sequences by blocks of the running length.
+    those under least bases are dropped (short sequences count in the sum all the same). The places are joined with the sequences by blocks of the running length.
     """
-    seqs = df.select(F.col(key), F.col(length).cast("bigint").alias("_len")).filter(F.col(key).isNotNull() & (F.col("_len") >= least))
+    seqs = df.select(F.col(key), F.col(length).cast("bigint").alias("_len")).filter(F.col(key).isNotNull() & (F.col("_len") > 0))
     blocks = seqs.withColumn("_b", F.substring(F.md5(F.col(key).cast("string")), 1, 2))
     per = blocks.groupBy("_b").agg(F.sum("_len").alias("_s"))
     per = per.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_base"))
     run = F.sum("_len").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     laid = blocks.withColumn("_run", run).join(per, "_b").select(key, "_len", (F.col("_base") + F.col("_run") - F.col("_len")).alias("_from"), (F.col("_base") + F.col("_run")).alias("_to"))
     total = seqs.agg(F.coalesce(F.sum("_len"), F.lit(0))).first()[0]
-    n = -(-int(coverage * total) // size)
+    n = math.ceil(coverage * total / size)
     unit = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"|{seed}"))), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
     places = df.sparkSession.range(n).select(F.col("id").alias("segment"), F.floor(unit * F.lit(float(total))).alias("_p"))
     block = 1 << 16

@@ -172,9 +172,12 @@ def q_random_segments(spark, d):
     return sm.random_segments(g, "accession", "genome_length", "n", 2000, 4)
 
 
-@query(GENOMES + """, k AS (SELECT substr(accession, 5, 3) AS clade, count(*) AS c FROM gen GROUP BY 1), w AS (SELECT least(20, sum(c))::BIGINT AS total, sum(c)::BIGINT AS whole FROM k),
- f AS (SELECT clade, c, total, least(c, greatest(1, total * c // whole)) AS n FROM k, w), m AS (SELECT *, total - sum(n) OVER () AS missing, row_number() OVER (ORDER BY n < c DESC, c DESC, clade) AS place FROM f)
- SELECT clade, CAST(n + CASE WHEN n < c AND place <= missing THEN 1 ELSE 0 END AS BIGINT) AS n FROM m""")
+_ALLOCATION = GENOMES + """, k AS (SELECT substr(accession, 5, 3) AS clade, count(*) AS c FROM gen GROUP BY 1), w AS (SELECT least(20, sum(c))::BIGINT AS total, sum(c)::BIGINT AS whole FROM k),
+ f AS (SELECT clade, c, total, least(c, greatest(1, total * c // whole)) AS n FROM k, w), m AS (SELECT *, total - sum(n) OVER () AS missing, row_number() OVER (ORDER BY n < c DESC, c DESC, clade) AS place FROM f),
+ al AS (SELECT clade, CAST(n + CASE WHEN n < c AND place <= missing THEN 1 ELSE 0 END AS BIGINT) AS n FROM m)"""
+
+
+@query(_ALLOCATION + " SELECT * FROM al")
 def q_proportional_allocation(spark, d):
     """Twenty genomes over the clades in proportion, each at least once (the SQL holds where no share has to be taken back and one turn deals out the rest)."""
     g = genomes(spark, d).withColumn("clade", F.substring("accession", 5, 3))
@@ -182,7 +185,8 @@ def q_proportional_allocation(spark, d):
     return sm.allocated(counts, "clade", "c", 20)
 
 
-@query()
+@query(_ALLOCATION + """, h AS (SELECT accession, substr(accession, 5, 3) AS clade, substr(accession, 5, 5) AS genus, md5(accession || '|2') AS h FROM gen), r AS (SELECT *, row_number() OVER (PARTITION BY clade, genus ORDER BY h, accession) AS round FROM h),
+ p AS (SELECT *, row_number() OVER (PARTITION BY clade ORDER BY round, h, accession) AS k FROM r) SELECT p.clade, genus, accession FROM p JOIN al ON al.clade = p.clade WHERE k <= n""")
 def q_spread_selection(spark, d):
     g = genomes(spark, d).withColumns({"clade": F.substring("accession", 5, 3), "genus": F.substring("accession", 5, 5)})
     alloc = sm.allocated(g.groupBy("clade").agg(F.count("*").alias("c")), "clade", "c", 20)

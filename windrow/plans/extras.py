@@ -163,9 +163,9 @@ def q_stream_confusion(spark, d):
 
 @query()
 def q_genome_wide_pipeline(spark, d):
-    """Segments longer than a window, cut, scored by the stand-in model and joined into regions."""
+    """All segments, cut into windows, scored by the stand-in model and joined into regions."""
     s = read(spark, d, "segments").filter("segment_id IS NOT NULL").groupBy("segment_id").agg(F.max(clean_bases("sequence")).alias("sequence"))
-    r = s.filter(F.length("sequence") > 2000).select(F.col("segment_id").alias("assembly"), F.col("segment_id").alias("seq_id"), "sequence")
+    r = s.filter(F.length("sequence") > 0).select(F.col("segment_id").alias("assembly"), F.col("segment_id").alias("seq_id"), "sequence")
     return pipelines.genome_wide(r, "assembly", {"gc": pipelines.gc_scorer()}, 500, 250, threshold=0.55, gap=500, smallest=1000, step=250)
 
 
